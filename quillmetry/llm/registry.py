@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmetry.llm import looks, pieces, quality, quantiles, segment
+from quillmetry.llm import looks, overlap, pieces, quality, quantiles, segment
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _read(spark, sf_dir, "training_records").select("record_id", "text", "split")
+    records = records.withColumn("train", F.when(F.col("split") == "train", True).when(F.col("split").isin("val", "test"), False))
+    pairs = overlap.overlapping_pairs(records, "record_id", "text", "train")
+    return pairs.select(F.col("lo").alias("record_lo"), F.col("hi").alias("record_hi"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = p1_found(spark, sf_dir).toDF("lo", "hi")
+    return overlap.overlap_report(_read(spark, sf_dir, "training_records"), pairs, "record_id", "split", "source")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sentence_units(_read(spark, sf_dir, "training_records"), "record_id", "text")
 
@@ -76,7 +88,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
