@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmetry.llm import looks, overlap, pieces, quality, quantiles, segment
+from quillmetry.llm import bpe, looks, overlap, pieces, quality, quantiles, segment
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,8 +87,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_quality(spark, sf_dir).where(F.col("kind").isNotNull()).select("table_name", "item_key", "kind")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
