@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers that don't find it by themselves.
+
+    Where it lies on ``PYTHONPATH`` nothing is done; else it is sent along as a zip, once a
+    context.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_quillmetry_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="quillmetry-")
+    archive = os.path.join(folder, "quillmetry.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for place, _, files in os.walk(os.path.join(root, "quillmetry")):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(place, name)
+                    out.write(full, os.path.relpath(full, root))
+    context.addPyFile(archive)
+    context._quillmetry_shipped = True
