@@ -111,8 +111,8 @@ def fold_merges(byte_array: str, vocabulary: Vocabulary) -> Column:
     def rank(a: Column, b: Column) -> Column:
         key = a.cast("long") * 65536 + b
         hit = [F.get(slots, F.pmod(a.cast("long") * mult[2 * w] + b.cast("long") * mult[2 * w + 1], F.lit(_SLOTS)).cast("int")) for w in (0, 1)]
-        fits = [F.shiftright(h, 16) == key for h in hit]
-        return F.when(fits[0], hit[0].bitwiseAND(F.lit(65535))).when(fits[1], hit[1].bitwiseAND(F.lit(65535))).otherwise(F.lit(NO_MERGE)).cast("int")
+        found = F.filter(F.array(*hit), lambda entry: F.shiftright(entry, 16) == key)
+        return F.coalesce(F.get(found, F.lit(0)).bitwiseAND(F.lit(65535)), F.lit(NO_MERGE)).cast("int")
 
     ids = F.transform(F.col(byte_array), lambda b: F.get(firsts, b))
 
