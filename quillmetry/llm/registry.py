@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmetry.llm import bpe, looks, overlap, pieces, quality, quantiles, segment
+from quillmetry.llm import bpe, looks, overlap, packing, pieces, quality, quantiles, segment
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,8 +91,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, sf_dir: str, config_id: int = 1) -> DataFrame:
+    """Documents in containers of one configuration's max_seq_length tokens."""
+    capacity = _read(spark, sf_dir, "train_configs").where(F.col("config_id") == config_id).first()["max_seq_length"]
+    sizes = bpe.token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.fill_containers(sizes, "doc_id", "n_tokens", capacity)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
