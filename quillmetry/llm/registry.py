@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmetry.llm import bpe, looks, overlap, packing, pieces, quality, quantiles, segment
+from quillmetry.llm import bpe, level, looks, overlap, packing, pieces, quality, quantiles, segment, topics
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("lo").alias("result_lo"), F.col("hi").alias("result_hi"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "level_labels").select(F.col("record_id").alias("item"), F.col("reading_level").alias("level"))
+    records = _read(spark, sf_dir, "training_records").select("record_id", "text", "source")
+    return level.reading_levels(records, "record_id", "text", "source", labels)
+
+
+def p4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "level_labels").select(F.col("record_id").alias("item"), F.col("reading_level").alias("level"))
+    records = _read(spark, sf_dir, "training_records").select("record_id", "text", "source")
+    return level.cross_validation(records, "record_id", "text", "source", labels)
+
+
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per feature, source and day; days merged per source; sources merged per feature."""
     flat = _read(spark, sf_dir, "flat_features").select("feature", "source", F.to_date("measured_at").alias("day"), "value")
@@ -98,8 +110,21 @@ def p9_containers(spark: SparkSession, sf_dir: str, config_id: int = 1) -> DataF
     return packing.fill_containers(sizes, "doc_id", "n_tokens", capacity)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "subject_labels").select(F.col("doc_id").alias("item"), "subject")
+    return topics.document_subjects(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "subject_areas"), labels)
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per source, language of the text and subject."""
+    docs = _read(spark, sf_dir, "documents")
+    langs = topics.languages(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
+    found = langs.join(p10_found(spark, sf_dir), "doc_id")
+    return found.groupBy("source", "language", "subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p4_validation, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found, p8_ids, p9_containers, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

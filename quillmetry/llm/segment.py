@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillmetry.llm.langs import UNSPACED, language
 from quillmetry.llm.looks import is_invisible, one_form
+from quillmetry.session import staged
 
 #: A word enters the model only with this share of its language's words (or periods), which
 #: bounds the model at 1 / MIN_SHARE words a language and kind, however large the corpus.
@@ -89,7 +90,7 @@ def _clean(text: str) -> tuple[str, list[int] | None]:
 # ---------------------------------------------------------------- learning
 
 
-def _count(texts: Iterator[str | None]) -> Iterator[tuple[str, str, str, str, int, int]]:
+def _count(texts: Iterator[str | None], only: tuple[str, ...] = ()) -> Iterator[tuple[str, str, str, str, int, int]]:
     """Counted types: T word total/starts, P word-next pairs, L totals of a language."""
     tokens: dict[str, Counter] = {}
     starts: dict[str, Counter] = {}
@@ -122,7 +123,7 @@ def _count(texts: Iterator[str | None]) -> Iterator[tuple[str, str, str, str, in
         if not text:
             continue
         lang = language(text)
-        if lang == "und" or lang in UNSPACED:
+        if lang == "und" or lang in UNSPACED or only and lang not in only:
             continue
         text, _ = _clean(text)
         mine = tokens.setdefault(lang, Counter())
@@ -159,12 +160,12 @@ class Model:
     bound: set[tuple[str, str]] = field(default_factory=set)  # words bound to the number before them
 
 
-def model_rows(df: DataFrame, text: str = "text") -> DataFrame:
-    """The model as a table (lang, kind, word, value), learned from every text of ``df``."""
+def model_rows(df: DataFrame, text: str = "text", only: tuple[str, ...] = ()) -> DataFrame:
+    """The model as a table (lang, kind, word, value), learned from every text of ``df`` (in the languages ``only``, if given)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, names = [], ["lang", "kind", "word", "next", "n", "k"]
-        for row in _count(t for b in batches for t in b.column(0).to_pylist()):
+        for row in _count((t for b in batches for t in b.column(0).to_pylist()), only):
             rows.append(row)
             if len(rows) >= 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
@@ -174,8 +175,6 @@ def model_rows(df: DataFrame, text: str = "text") -> DataFrame:
 
     counted = df.select(F.col(text).cast("string")).mapInArrow(run, "lang string, kind string, word string, next string, n long, k long")
     counted = counted.groupBy("lang", "kind", "word", "next").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    from quillmetry.session import staged
-
     counted = staged(counted, "segment-counts")
     words = counted.where("kind = 'T'").select("lang", "word", "n", F.least("k", "n").alias("k"))
     langs = counted.where("kind = 'L'").groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum("k").alias("ends"))
@@ -206,10 +205,10 @@ def model_rows(df: DataFrame, text: str = "text") -> DataFrame:
     return statuses.unionByName(before).unionByName(bound)
 
 
-def learn(df: DataFrame, text: str = "text") -> Model:
+def learn(df: DataFrame, text: str = "text", only: tuple[str, ...] = ()) -> Model:
     """The model, gathered on the driver (its size is bounded by MIN_SHARE)."""
     model = Model()
-    for row in model_rows(df, text).collect():
+    for row in model_rows(df, text, only).collect():
         if row.kind == "status":
             model.status[row.lang, row.word] = row.value
         elif row.kind == "before":
