@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,6 +34,7 @@ TREES, DEPTH, RATE, LEAF, BINS, FOLDS = 60, 3, 0.15, 8, 32, 5
 
 _GARBLED = re.compile("[\u0080-¿ÃÐÑ×Œ-Ÿˆ˜‚„†-‰‹›€™�]")
 _WORD = re.compile(r"[^\W\d_]+(?:[\"'’״׳-][^\W\d_]+)*")
+_DIGIT = re.compile(r"\d")
 _COMMON = {lang: frozenset(COMMON_WORDS[lang].split()) for lang in LANGUAGES}
 NAMES = (
     "units words_mean words_sd words_p10 words_p50 words_p90 long_units short_units chars_mean chars_p50 word_length word_length_p90 long_words "
@@ -42,37 +44,43 @@ NAMES = (
 
 def features_of(units: list[str], lang: str) -> list[float]:
     """The features of a text given as its units (at least one of them has a word)."""
-    words = [w for w in (_WORD.findall(u) for u in units) if w]
-    counts = np.array([len(w) for w in words], float)
-    chars = np.array([len(u) for u in units], float)
-    every = [x.lower() for w in words for x in w]
-    lengths = np.array([len(x) for x in every], float)
-    n = len(every)
-    sets = [{x.lower() for x in w} for w in words]
-    overlap = [len(a & b) / len(a | b) for a, b in zip(sets, sets[1:])]
-    first = Counter(w[0].lower() for w in words)
-    window = [len(set(every[i : i + 50])) / len(every[i : i + 50]) for i in range(0, n, 50)]
+    words = [w for w in (_WORD.findall(u.lower()) for u in units) if w]
+    counts = sorted(map(len, words))
+    chars = sorted(map(len, units))
+    every = [x for w in words for x in w]
+    n, lines = len(every), len(words)
+    lengths = sorted(map(len, every))
+    at_least = [n - bisect_left(lengths, k) for k in (8, 11)]
+    sets = [*map(set, words)]
+    shared = [len(a & b) for a, b in zip(sets, sets[1:])]
+    overlap = sum(k / (len(a) + len(b) - k) for k, a, b in zip(shared, sets, sets[1:]))
+    first = Counter(w[0] for w in words)
+    windows = [len(set(every[i : i + 50])) / min(50, n - i) for i in range(0, n, 50)]
+    mean = n / lines
+    pick = lambda values, q: values[int(q * (len(values) - 1) + 0.5)]
     text = " ".join(units)
     return [
         math.log1p(len(units)),
-        counts.mean(),
-        counts.std(),
-        *np.percentile(counts, [10, 50, 90]),
-        (counts > 20).mean(),
-        (counts < 7).mean(),
-        chars.mean(),
-        np.median(chars),
-        lengths.mean(),
-        np.percentile(lengths, 90),
-        (lengths >= 8).mean(),
-        (lengths >= 11).mean(),
+        mean,
+        math.sqrt(sum((c - mean) ** 2 for c in counts) / lines),
+        pick(counts, 0.1),
+        pick(counts, 0.5),
+        pick(counts, 0.9),
+        1 - bisect_left(counts, 21) / lines,
+        bisect_left(counts, 7) / lines,
+        sum(chars) / len(chars),
+        pick(chars, 0.5),
+        sum(lengths) / n,
+        pick(lengths, 0.9),
+        at_least[0] / n,
+        at_least[1] / n,
         text.count(",") / len(units),
-        sum(map(text.count, "0123456789\"")) / n,
-        sum(1 for x in every if x in _COMMON[lang]) / n,
-        float(np.mean(window)),
-        len({x for x in every if len(x) >= 8}) / n,
-        float(np.mean(overlap)) if overlap else 0.0,
-        max(first.values()) / len(words),
+        (text.count('"') + len(_DIGIT.findall(text))) / n,
+        sum(map(_COMMON[lang].__contains__, every)) / n,
+        sum(windows) / len(windows),
+        sum(1 for x in set().union(*sets) if len(x) >= 8) / n,
+        overlap / len(shared) if shared else 0.0,
+        max(first.values()) / lines,
         float(lang == "en"),
     ]
 
