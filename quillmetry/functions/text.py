@@ -51,8 +51,8 @@ def prefix(token: Column) -> Column:
 
 def suffix(token: Column) -> Column:
     """The first suffix of the list that the token ends with, with a Hebrew letter before it; null for a bare suffix."""
-    found = F.coalesce(*(F.when(token.rlike(f"[א-ת](?:.|\n)*{s}$") & (F.length(token) > len(s)), F.lit(s)) for s in SUFFIXES))
-    return F.when(~token.isin(SUFFIXES), found)
+    found = F.regexp_extract(token, rf"(?s)[א-ת].*?({'|'.join(SUFFIXES)})$", 1)
+    return F.when(~token.isin(SUFFIXES) & (found != ""), found)
 
 
 def parser_input(text: Column) -> Column:

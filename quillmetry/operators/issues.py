@@ -23,11 +23,15 @@ def _issue(kind: str, group: str, severity: Column, share: Column, stats: list[C
     )
 
 
-def _of_document(kind: str, group: str, parts: list[tuple[str, float, bool]], stats: Column, n: Column) -> Column:
+def _stat(feature: str) -> Column:
+    return F.col(f"__{feature}")
+
+
+def _of_document(kind: str, group: str, parts: list[tuple[str, float, bool]], n: Column) -> Column:
     """One issue of the whole document, null unless one of its features is there (a missing one counts 0.5)."""
     terms, here, known = [], [], []
     for feature, weight, inverted in parts:
-        st = B.stat(stats, feature)
+        st = _stat(feature)
         value = F.col(feature)
         score = B.soft_score(value, st["mean"], st["std"])
         if kind == "sentence_progression_drift":
@@ -49,10 +53,12 @@ def detect(features: DataFrame, stats: DataFrame, item: str, metrics: str = "m")
     its document-level issues.
     """
     rows = features.withColumn("one", F.lit(1)).join(B.stats_map(stats), "one")
-    m, s = F.coalesce(F.col(metrics), F.array().cast(features.schema[metrics].dataType)), F.col("stats")
+    # Looked up once a row, not in every sentence.
+    rows = rows.select("*", *(B.stat(F.col("stats"), f).alias(f"__{f}") for f in C.FEATURES))
+    m = F.coalesce(F.col(metrics), F.array().cast(features.schema[metrics].dataType))
     n = F.size(m)
-    whole = F.array(*(_of_document(kind, group, parts, s, n) for kind, group, parts in C.ISSUES))
-    length, depth, overlap = B.stat(s, "avg_sentence_length"), B.stat(s, "avg_tree_depth"), B.stat(s, "sentence_overlap")
+    whole = F.array(*(_of_document(kind, group, parts, n) for kind, group, parts in C.ISSUES))
+    length, depth, overlap = _stat("avg_sentence_length"), _stat("avg_tree_depth"), _stat("sentence_overlap")
     tokens = lambda x: B.soft_score(x["n"].cast("double"), length["mean"], length["std"])
     deep = lambda x: B.soft_score(F.greatest(x["depth"] - 1, F.lit(0)).cast("double"), depth["mean"], depth["std"])
     each = F.transform(m, lambda x, i: _issue("sentence_complexity", "syntax", 0.6 * tokens(x) + 0.4 * deep(x), F.lit(1.0), [length, depth], F.array(i)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmetry import constants as C
 from quillmetry.functions import text as T
 from quillmetry.operators import baseline, diagnoses, distill, features, frames, issues, prep, reports, scoring, views
-from quillmetry.session import staged
+from quillmetry.session import spread, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +24,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.analysed(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return frames.analysed(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def _features(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
