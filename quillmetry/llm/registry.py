@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmetry.llm import bpe, level, looks, overlap, packing, pieces, quality, quantiles, segment, topics
+from quillmetry.session import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _texts_of(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table with texts, over all cores."""
+    return spread(_read(spark, sf_dir, table).select(*columns))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _read(spark, sf_dir, "training_records").select("record_id", "text", "split")
+    records = _texts_of(spark, sf_dir, "training_records", "record_id", "text", "split")
     records = records.withColumn("train", F.when(F.col("split") == "train", True).when(F.col("split").isin("val", "test"), False))
     pairs = overlap.overlapping_pairs(records, "record_id", "text", "train")
     return pairs.select(F.col("lo").alias("record_lo"), F.col("hi").alias("record_hi"))
@@ -27,7 +33,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.sentence_units(_read(spark, sf_dir, "training_records"), "record_id", "text")
+    return segment.sentence_units(_texts_of(spark, sf_dir, "training_records", "record_id", "text"), "record_id", "text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +43,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "level_labels").select(F.col("record_id").alias("item"), F.col("reading_level").alias("level"))
-    records = _read(spark, sf_dir, "training_records").select("record_id", "text", "source")
+    records = _texts_of(spark, sf_dir, "training_records", "record_id", "text", "source")
     return level.reading_levels(records, "record_id", "text", "source", labels)
 
 
 def p4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "level_labels").select(F.col("record_id").alias("item"), F.col("reading_level").alias("level"))
-    records = _read(spark, sf_dir, "training_records").select("record_id", "text", "source")
+    records = _texts_of(spark, sf_dir, "training_records", "record_id", "text", "source")
     return level.cross_validation(records, "record_id", "text", "source", labels)
 
 
@@ -68,7 +74,7 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _read(spark, sf_dir, "training_records").select("record_id", "config_id", "text")
+    records = _texts_of(spark, sf_dir, "training_records", "record_id", "config_id", "text")
     configs = _read(spark, sf_dir, "train_configs").select("config_id", "char_budget", "overlap_chars")
     return records.join(configs, "config_id", "left")
 
@@ -86,7 +92,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = {"documents": "doc_id", "training_records": "record_id", "example_texts": "id"}
     out = None
     for table, key in keys.items():
-        rows = _read(spark, sf_dir, table).select(F.lit(table).alias("table_name"), F.col(key).cast("string").alias("item_key"), "text")
+        rows = _texts_of(spark, sf_dir, table, key, "text").select(F.lit(table).alias("table_name"), F.col(key).cast("string").alias("item_key"), "text")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -100,19 +106,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.encode(_texts_of(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def p9_containers(spark: SparkSession, sf_dir: str, config_id: int = 1) -> DataFrame:
     """Documents in containers of one configuration's max_seq_length tokens."""
     capacity = _read(spark, sf_dir, "train_configs").where(F.col("config_id") == config_id).first()["max_seq_length"]
-    sizes = bpe.token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    sizes = bpe.token_counts(_texts_of(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     return packing.fill_containers(sizes, "doc_id", "n_tokens", capacity)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "subject_labels").select(F.col("doc_id").alias("item"), "subject")
-    return topics.document_subjects(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "subject_areas"), labels)
+    return topics.document_subjects(_texts_of(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", _read(spark, sf_dir, "subject_areas"), labels)
 
 
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
