@@ -35,8 +35,8 @@ MAX_LABELLED = 20_000
 ITERATIONS = 2
 #: Documents that the Dirichlet prior is worth; part of a term's documents that a topic must hold; documents a term must occur in.
 PRIOR, GATE, MIN_DOCS = 4.0, 0.45, 4
-#: How far above the usual proportion a topic's part must be; its log-likelihood ratio (p = 0.0002); documents the even spread is worth.
-LIFT, LLR, EVEN = 2.5, 14.0, 20.0
+#: How far above the usual proportion, towards 1, a topic's part must be; its log-likelihood ratio (p = 0.0002); documents the even spread is worth.
+LIFT, LLR, EVEN = 0.25, 14.0, 20.0
 #: Terms a document must have before its proportions teach the model.
 SURE_TERMS = 2.0
 #: A document is about a subject with at least so many expected terms of it, such a share of all subjects' terms, and so many a sentence.
@@ -161,7 +161,7 @@ def _gated(weight: np.ndarray, total: np.ndarray, base: np.ndarray) -> np.ndarra
     k, n = np.minimum(weight, total), np.maximum(total, 1e-9)
     rate = np.clip(k / n, 1e-9, 1 - 1e-9)
     ratio = 2 * n * (rate * np.log(rate / usual) + (1 - rate) * np.log((1 - rate) / (1 - usual)))
-    return np.where((part >= GATE) & (part >= LIFT * usual) & (total >= MIN_DOCS) & (ratio >= LLR), part, 0.0)
+    return np.where((part >= GATE) & (part >= usual + LIFT * (1 - usual)) & (total >= MIN_DOCS) & (ratio >= LLR), part, 0.0)
 
 
 def _usual(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
