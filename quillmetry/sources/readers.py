@@ -26,10 +26,11 @@ def line_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def json_directory(spark: SparkSession, path: str, schema: str, exclude: str = "feature_stats.json") -> tuple[DataFrame, DataFrame]:
     """Records of ``*.json`` files, and the files that don't parse."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file_name")).where(F.col("file_name") != exclude)
-    good = rows.where("_corrupt_record is null").drop("_corrupt_record")
-    return good, rows.where("_corrupt_record is not null").select("file_name", "_corrupt_record")
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    rows = files.select("value", F.col("_metadata.file_name").alias("file_name")).where(F.col("file_name") != exclude)
+    fine = F.try_parse_json("value").isNotNull()
+    good = rows.where(fine).select(F.from_json("value", schema).alias("r"), "file_name").select("r.*", "file_name")
+    return good, rows.where(~fine).select("file_name", F.col("value").alias("content"))
 
 
 def validated(rows: DataFrame, required: tuple[str, ...] = ("text", "features", "scores")) -> tuple[DataFrame, DataFrame]:
