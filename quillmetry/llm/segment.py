@@ -37,6 +37,7 @@ OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』",
 CLOSE = set(OPEN.values())
 BRACKETS = set("([{（【")
 PLAIN_QUOTES = '"״＂'
+_DOUBLE = set(PLAIN_QUOTES + "“”")  # may close each other: styles get mixed
 _EVENT = re.compile(r"[.!?…。！？｡．؟۔।॥]+|[" + re.escape("".join(sorted(set(OPEN) | CLOSE | set(PLAIN_QUOTES)))) + "]")
 _FULL = set("。！？｡")  # needs no blank after it
 _PERIODS = set(".．")
@@ -293,18 +294,22 @@ class Splitter:
                 left, right = s[m.start() - 1 : m.start()] if m.start() > at else " ", s[pos : pos + 1] if pos < end else " "
                 if left.isalnum() and right.isalnum() and not (_east(left) or _east(right)):
                     continue  # an abbreviation such as the Hebrew ones
-                waiting = any(c == ch for c, _ in stack)
+                waiting = any(c in _DOUBLE for c, _ in stack)
                 opening = (left.isspace() or left in OPEN or left in PLAIN_QUOTES and m.start() - 1 <= at or not waiting and _east(left)) and not right.isspace()
                 if waiting and left in PLAIN_QUOTES and right not in PLAIN_QUOTES and m.start() - 1 == first:
                     opening = True
                 if opening:
                     stack.append((ch, s[first : m.start()].strip(_OPENERS + " ") == ""))
                 elif waiting:
-                    while stack and stack.pop()[0] != ch:
+                    while stack.pop()[0] not in _DOUBLE:
                         pass
                 continue
             if ch in CLOSE and any(c == ch for c, _ in stack):
-                while stack and stack.pop()[0] != ch:
+                while stack.pop()[0] != ch:
+                    pass
+                continue
+            if ch in _DOUBLE and any(c in _DOUBLE for c, _ in stack) and (pos >= end or not s[pos].isalnum()):
+                while stack.pop()[0] not in _DOUBLE:
                     pass
                 continue
             if ch in OPEN:
@@ -317,7 +322,7 @@ class Splitter:
             e, closed = pos, []
             while e < end:
                 c = s[e]
-                if stack and c == stack[-1][0]:
+                if stack and (c == stack[-1][0] or c in _DOUBLE and stack[-1][0] in _DOUBLE and (e + 1 >= end or not s[e + 1].isalnum())):
                     closed.append((c, *stack.pop()[1:]))
                     e += 1
                 elif stack and s[e].isspace() and e + 1 < end and s[e + 1] == "»" == stack[-1][0]:
@@ -326,8 +331,8 @@ class Splitter:
                 elif closed and c in ".!?…。！？":
                     ch, closed = c, []
                     e += 1
-                elif c in PLAIN_QUOTES and stack and any(x == c for x, _ in stack):
-                    while stack[-1][0] != c:
+                elif c in PLAIN_QUOTES and any(x in _DOUBLE for x, _ in stack):
+                    while stack[-1][0] not in _DOUBLE:
                         stack.pop()
                 else:
                     break
@@ -342,7 +347,7 @@ class Splitter:
             if not (spaced or east or emoji):
                 continue
             if stack:
-                inner += 1
+                inner += len(stack) == 1 and self._is_end(s, at, end, first, m.start(), ch, closed, e, lang, 0, east)
                 continue
             if self._is_end(s, at, end, first, m.start(), ch, closed, e, lang, inner, east):
                 cuts.append(e)
@@ -361,12 +366,12 @@ class Splitter:
             bracket = closed[-1][0] in ")]}）】"
             if not closed[-1][1]:  # opened inside the sentence
                 return not bracket and lead.isupper() and status == "S" and not nxt.isupper()
-            if lower or nxt[0] in "—–" or status == "N":
+            if lower or nxt[0] in "—–" or status == "N" and nxt[0] not in OPEN and nxt[0] not in PLAIN_QUOTES:
                 return False
             if bracket:
                 return True
-            if inner:
-                return status == "S"
+            if inner:  # several sentences in the quotation: who said them follows, unless case tells otherwise
+                return status == "S" and lead.isupper()
             return not (east and not s[e].isspace() and closed[-1][0] not in PLAIN_QUOTES)
         if ch[-1] in _FULL or ch[0] in "।॥۔؟":
             return True
