@@ -124,12 +124,12 @@ def fold_merges(byte_array: str, vocabulary: Vocabulary) -> Column:
     def step(state: Column, best: Column, at: Column) -> Column:
         ids, ranks = state["ids"], state["ranks"]
         n = F.size(ids)
-        none = F.array().cast("array<int>")
-        left = F.when(at > 1, F.array(rank(F.get(ids, at - 2), best))).otherwise(none)
-        right = F.when(at + 1 < n, F.array(rank(best, F.get(ids, at + 1)))).otherwise(none)
+        pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        beside = F.array(F.when(at > 1, pair(F.get(ids, at - 2), best)), F.when(at + 1 < n, pair(best, F.get(ids, at + 1))))
+        changed = F.transform(F.filter(beside, lambda p: p.isNotNull()), lambda p: rank(p["a"], p["b"]))
         return F.struct(
             F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, n)).alias("ids"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, n)).alias("ranks"),
+            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), changed, F.slice(ranks, at + 2, n)).alias("ranks"),
         )
 
     def merge(state: Column, _: Column) -> Column:
