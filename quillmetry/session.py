@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"quillmetry-{uuid.uuid4().hex[:8]}")
+        place = os.path.join(tempfile.gettempdir(), f"quillmetry-{uuid.uuid4().hex[:8]}")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        folder = "file://" + place
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
