@@ -37,6 +37,8 @@ ITERATIONS = 2
 PRIOR, GATE, MIN_DOCS = 4.0, 0.45, 4
 #: How far above the usual proportion, towards 1, a topic's part must be; its log-likelihood ratio (p = 0.0002); documents the even spread is worth.
 LIFT, LLR, EVEN = 0.25, 14.0, 20.0
+#: Documents after which a described term must pass the gate like any other.
+SEED_DOCS = 20
 #: Terms a document must have before its proportions teach the model.
 SURE_TERMS = 2.0
 #: A document is about a subject with at least so many expected terms of it, such a share of all subjects' terms, and so many a sentence.
@@ -222,6 +224,8 @@ def fit(bags: DataFrame, labels: DataFrame, seeds: dict[str, list[str]]) -> tupl
         counts += seen
         base = _usual(counts[:width, SLOTS:].T, counts[width, SLOTS:])
         belongs = _gated(counts[:width, :SLOTS], counts[width, :SLOTS], base)
+        # A described term stays until enough documents tell against it.
+        belongs = np.where(seeded & (counts[width, :SLOTS] < SEED_DOCS), 1.0, belongs)
     return subjects, belongs
 
 
