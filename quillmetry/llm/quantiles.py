@@ -33,8 +33,7 @@ def sketch(df: DataFrame, keys: list[str], value: str = "value", k: int = DEFAUL
 
     Rows whose value is null or NaN are dropped, so a group without any value gives no row and
     an empty table an empty result. Every other row counts, repeated ones as often as they
-    stand. Columns: the keys, ``n`` and ``sketch``. Column names that differ only from those
-    wanted are ignored.
+    stand. Columns: the keys, ``n`` and ``sketch``; all other columns are ignored.
     """
     rows = df.where(valid(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("__value"))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("__value", k).alias("sketch"))
