@@ -6,10 +6,13 @@ texts that share a part ``t`` of the longer one's words have a dot product of at
 * Texts with the same words form one class; one of them stands for it.
 * Words are ordered from rare to frequent, by counters of fixed size. In that order the words
   behind the first ``n - ceil(t n) + 1`` have a residual norm below ``t``: a pair must share
-  one of the words before, so only those enter the inverted lists. A list is split by the
-  word next to the listed one, which keeps the lists of frequent words short.
-* The largest dot product two lengths allow is ``min(n, m) / max(n, m)``; pairs below ``t``
-  are dropped inside the join, and so are pairs that share too small a part of their lists.
+  one of the words before, so all of those enter the inverted lists and one hit is enough.
+  The lists of frequent words are split by ranges of length.
+* The join keeps what a true pair must fulfil at the first word in common: lengths, places in
+  both texts and ranks in both orders that leave room for ``t`` of the longer text.
+* A word that is left out breaks two pairs of neighbours at most, one that is put in one: of texts
+  of ``n`` and ``m`` words with ``c`` in common ``3 c - n - m - 1`` neighbours stay. Sketches of
+  the neighbours drop the pairs below, in blocks, so that no text is sent once per pair.
 * The exact dot product, then the longest common subsequence of words, decide.
 """
 
@@ -32,10 +35,10 @@ from quillmetry.session import staged
 
 #: Counters of document frequency: fixed in number, so their size doesn't grow with the corpus.
 COUNTERS = 1 << 20
-#: Of each text's entries, this share of the most frequent stays out of the lists; a pair must
-#: share ``HIT_SHARE`` of the entries among those that are in. Texts of few entries keep all and
-#: need one hit. At the similarity sought, half of all entries are expected in common.
-DROPPED, HIT_SHARE, FEW = 0.4, 0.15, 24
+#: Words that more texts hold than this have a list per range of length.
+HOT = 500
+#: Words of a block of texts, the least numbers of blocks, and bits of the sketch of a text.
+BLOCK_WORDS, LEAST_BLOCKS, SKETCH = 4_000_000, (6, 2), 2048
 _EAST = re.compile("([々-〇぀-ヿ㐀-鿿豈-﫿฀-๿])")
 _SPLIT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,15 +74,27 @@ def prefix_length(n: int, threshold: float) -> int:
 
 
 def list_entries(words: np.ndarray, counters: np.ndarray, threshold: float) -> np.ndarray:
-    """Distinct entries (word and neighbour, hashed) of the rarest words of a text."""
-    n = len(words)
+    """Places of the words that enter the lists, the rarest first, equal words in text order."""
     order = np.lexsort((words, counters[words & (COUNTERS - 1)]))
-    at = order[: prefix_length(n, threshold)]
-    before, after = at[at > 0], at[at < n - 1]
-    w = words.view(np.uint64)
-    left = np.concatenate([w[before - 1], w[after]])
-    right = np.concatenate([w[before], w[after + 1]])
-    return np.unique((left * _SPLIT ^ (right + (left >> np.uint64(29)))).view(np.int64))
+    return order[: prefix_length(len(words), threshold)]
+
+
+def length_range(n: int, threshold: float) -> int:
+    """Number of the range of lengths that ``n`` is in; it never falls as ``n`` grows."""
+    return 1 + int(math.log(n) / max(0.01, -math.log(threshold)))
+
+
+def sketch(words: np.ndarray) -> np.ndarray:
+    """Bits of the pairs of neighbours."""
+    w = words.astype(np.int64).view(np.uint64)
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[((w[:-1] * _SPLIT ^ (w[1:] + (w[:-1] >> np.uint64(29)))) * _SPLIT >> np.uint64(40)) % np.uint64(SKETCH)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def neighbours_left(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs of neighbours that texts of ``n`` and ``m`` words share at least if they reach the threshold."""
+    return 3 * np.ceil(threshold * np.maximum(n, m) - 1e-9).astype(np.int64) - n - m - 1
 
 
 def common_words(a: list, b: list, least: float = 0.0) -> int:
@@ -170,36 +185,87 @@ def _counters(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _lists(docs: DataFrame, counters, out: str) -> DataFrame:
-    """The inverted lists of one side: a row per entry that is kept."""
+def _lists(docs: DataFrame, counters, threshold: float, out: str, every: bool) -> DataFrame:
+    """The inverted lists of one side: a row per word of the prefix, hot ones in their range of
+    length, or with ``every`` in each range that a partner can be in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counters.value
         for batch in batches:
-            at, found, size = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for i, entries in enumerate(batch.column(2)):
-                mine = entries.values.to_numpy()
-                keep = max(FEW, math.ceil((1 - DROPPED) * len(mine)))
-                if keep < len(mine):
-                    mine = mine[np.lexsort((mine, count[mine & (COUNTERS - 1)]))[:keep]]
-                found.append(mine)
-                at.append(np.full(len(mine), i, np.int32))
-                size.append(np.full(len(mine), len(entries), np.int32))
-            rows = pa.array(np.concatenate(at))
-            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(found)), pa.array(np.concatenate(size))]
-            yield pa.RecordBatch.from_arrays(columns, names=[out, f"n_{out}", "entry", f"s_{out}"])
-
-    return docs.select("cls", "n", "entries").mapInArrow(run, f"{out} bigint, n_{out} int, entry bigint, s_{out} int")
-
-
-def candidates(listed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of classes, a in the first part and b in the second, worth a full comparison."""
-    counters = listed.sparkSession.sparkContext.broadcast(_counters(listed, "entries"))
-    a = _lists(listed.where("first"), counters, "a")
-    b = _lists(listed.where("second"), counters, "b")
-    near = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & (F.col("a") != F.col("b"))
-    hits = a.join(b, "entry").where(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.least(F.min("s_a"), F.min("s_b")).alias("size"))
-    return hits.where((F.col("size") <= FEW) | (F.col("hits") >= HIT_SHARE * F.col("size"))).select("a", "b")
+            parts = [(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32))]
+            for i, words in enumerate(batch.column(2)):
+                w = words.values.to_numpy()
+                n = len(w)
+                place = list_entries(w, count, threshold).astype(np.int32)
+                rank, entry = np.arange(len(place), dtype=np.int32), w[place]
+                hot = count[entry & (COUNTERS - 1)] > HOT
+                low, high = (math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9)) if every else (n, n)
+                ranges = range(length_range(max(1, low), threshold), length_range(high, threshold) + 1)
+                for k, at in [(0, np.flatnonzero(~hot)), *((k, np.flatnonzero(hot)) for k in ranges)]:
+                    parts.append((np.full(len(at), i, np.int32), entry[at], np.full(len(at), k, np.int32), place[at], rank[at]))
+            at, *rest = (np.concatenate(x) for x in zip(*parts))
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, rest)], names=[out, f"n_{out}", "entry", "range", f"place_{out}", f"rank_{out}"])
+
+    return docs.select("cls", "n", "words").mapInArrow(run, f"{out} bigint, n_{out} int, entry bigint, range int, place_{out} int, rank_{out} int")
+
+
+def candidates(listed: DataFrame, counters, threshold: float) -> DataFrame:
+    """Pairs (a, b) of classes, a in the first part and b in the second, worth a comparison; some repeatedly."""
+    a = _lists(listed.where("first"), counters, threshold, "a", False)
+    b = _lists(listed.where("second"), counters, threshold, "b", True)
+    least = F.greatest("n_a", "n_b") * threshold - 1e-9
+    near = (F.least("n_a", "n_b") >= least) & (F.col("a") != F.col("b"))
+    # Words in common stand before both places or behind both; none is rarer than the first.
+    placed_near = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= least
+    ranked_near = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= least
+    return a.join(b, ["entry", "range"]).where(near & placed_near & ranked_near).select("a", "b")
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, ys: np.ndarray, threshold: float) -> bool:
+    """Whether the longest common subsequence reaches the threshold; ``ys``: ``placed(y)``."""
+    least = threshold * max(len(x), len(y)) - 1e-9
+    # Words of the subsequence are shifted by the words left out before them at most.
+    if in_reach(x, ys, int(max(len(x), len(y)) - least)) < least:
+        return False
+    return dot_product(x, y) >= threshold - 1e-9 and common_words(x.tolist(), y.tolist(), least) >= least
+
+
+def _in_blocks(pairs: DataFrame, docs: DataFrame, words: str, threshold: float) -> DataFrame:
+    """The pairs that reach the threshold, each once, found per block of texts of either side."""
+    total = docs.agg(F.sum(F.when(F.col("first"), F.col("n"))), F.sum(F.when(F.col("second"), F.col("n")))).first()
+    n_a, n_b = (max(least, math.ceil((x or 0) / BLOCK_WORDS)) for x, least in zip(total, LEAST_BLOCKS))
+    block = lambda item, n: F.pmod(F.hash(item), F.lit(n))
+    texts = docs.where("first").select(F.lit(True).alias("is_a"), "cls", words, block("cls", n_a).alias("at_a"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("at_b"))
+    other = docs.where("second").select(F.lit(False).alias("is_a"), "cls", words, F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))).alias("at_a"), block("cls", n_b).alias("at_b"))
+
+    def side(table: pa.Table, is_a: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        own = table.filter(pc.equal(table.column("is_a"), is_a)).combine_chunks().sort_by("cls")
+        return own.column("cls").to_numpy(), [x.values.to_numpy() for x in own.column(words)]
+
+    def run(found: pa.Table, texts: pa.Table) -> pa.Table:
+        keep: tuple[list[int], list[int]] = ([], [])
+        if found.num_rows:
+            (ids_a, words_a), (ids_b, words_b) = side(texts, True), side(texts, False)
+            code = np.unique(np.searchsorted(ids_b, found.column("b").to_numpy()) * len(ids_a) + np.searchsorted(ids_a, found.column("a").to_numpy()))
+            len_a, len_b = np.array([*map(len, words_a)]), np.array([*map(len, words_b)])
+            bits_a, bits_b = np.array([sketch(x) for x in words_a]), np.array([sketch(x) for x in words_b])
+            last, ys = -1, None
+            for begin in range(0, len(code), 20_000):
+                j, i = np.divmod(code[begin : begin + 20_000], len(ids_a))
+                x, y = bits_a[i], bits_b[j]
+                left = neighbours_left(len_a[i], len_b[j], threshold)
+                fits = (np.bitwise_count(x & ~y).sum(1, dtype=np.int64) <= len_a[i] - 1 - left) & (np.bitwise_count(y & ~x).sum(1, dtype=np.int64) <= len_b[j] - 1 - left)
+                for p, q in zip(i[fits].tolist(), j[fits].tolist()):
+                    if q != last:
+                        last, ys = q, placed(words_b[q])
+                    if _reaches(words_a[p], words_b[q], ys, threshold):
+                        keep[0].append(ids_a[p])
+                        keep[1].append(ids_b[q])
+        return pa.table({"a": pa.array(keep[0], pa.int64()), "b": pa.array(keep[1], pa.int64())})
+
+    keyed = pairs.select("a", "b", block("a", n_a).alias("at_a"), block("b", n_b).alias("at_b"))
+    return keyed.groupBy("at_a", "at_b").cogroup(texts.unionByName(other).groupBy("at_a", "at_b")).applyInArrow(run, "a bigint, b bigint")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, words: str, threshold: float) -> DataFrame:
@@ -215,11 +281,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, words: str, threshold: float) -
                 x, y = xs[at_x[i] : at_x[i + 1]], all_y[at_y[i] : at_y[i + 1]]
                 if other != last:
                     last, ys = other, placed(y)
-                least = threshold * max(len(x), len(y)) - 1e-9
-                # Words of the subsequence are shifted by the words left out before them at most.
-                if in_reach(x, ys, int(max(len(x), len(y)) - least)) < least:
-                    continue
-                if dot_product(x, y) >= threshold - 1e-9 and common_words(x.tolist(), y.tolist(), least) >= least:
+                if _reaches(x, y, ys, threshold):
                     keep.append(i)
             rows = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
@@ -246,21 +308,17 @@ def overlapping_pairs(df: DataFrame, item: str, text: str, in_first: str, thresh
     docs = docs.select("cls", "n", "first", "second", "words")
     counters = df.sparkSession.sparkContext.broadcast(_counters(tokens, "words"))
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counters.value
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(4)
-            found = [list_entries(w.values.to_numpy(), count, threshold) for w in words]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
             ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
             short = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.flatten().to_numpy().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, short], names=["cls", "n", "first", "second", "words", "entries", "short"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, short], names=["cls", "n", "first", "second", "words", "short"])
 
-    listed = docs.mapInArrow(entries, "cls bigint, n int, first boolean, second boolean, words array<bigint>, entries array<bigint>, short array<int>")
+    listed = docs.mapInArrow(shortened, "cls bigint, n int, first boolean, second boolean, words array<bigint>, short array<int>")
     listed = staged(listed, "overlap-entries")
     # Words of 32 bits first: two words in one can only make a pair look more alike.
-    alike = staged(_compared(candidates(listed, threshold), listed, "short", threshold), "overlap-alike")
+    alike = staged(_in_blocks(candidates(listed, counters, threshold), listed, "short", threshold), "overlap-alike")
     alike = _compared(alike, listed, "words", threshold)
     same = classes.where("first and second").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     members = tokens.select("item", "side", "digest").join(classes.select("digest", "cls"), "digest")

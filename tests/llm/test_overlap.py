@@ -68,3 +68,24 @@ def test_copies_and_edges(spark):
 def test_entries_need_ten_words():
     words = np.arange(10, dtype=np.int64)
     assert len(list_entries(words, np.zeros(COUNTERS, np.int32), 0.8)) > 0
+
+
+def test_changed_words_that_are_unique(spark):
+    """The differing words are the rarest ones and stand between frequent words."""
+    rng = random.Random(5)
+    frequent = [f"w{int(1.3 ** (rng.random() * 20))}" for _ in range(4000)]
+    rows = []
+    for i in range(15):
+        words = [rng.choice(frequent) for _ in range(rng.randrange(60, 160))]
+        rows.append((10 * i, " ".join(words), True))
+        for k, step in enumerate((12, 6, 5)):
+            changed = [f"u{i}x{k}x{p}" if p % step == step - 1 else w for p, w in enumerate(words)]
+            rows.append((10 * i + k + 1, " ".join(changed), False))
+        dropped = [w for p, w in enumerate(words) if p % 6 != 5]
+        rows.append((10 * i + 4, " ".join(dropped), False))
+    df = spark.createDataFrame(rows, "id long, text string, first boolean")
+    got = {tuple(r) for r in overlapping_pairs(df, "id", "text", "first").collect()}
+    words = {i: t.split() for i, t, _ in rows}
+    first, second = ([i for i, _, f in rows if f is side] for side in (True, False))
+    want = {(min(a, b), max(a, b)) for a in first for b in second if lcs(words[a], words[b]) >= 0.8 * max(len(words[a]), len(words[b]))}
+    assert len(want) >= 60 and got == want
