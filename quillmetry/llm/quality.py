@@ -1,8 +1,8 @@
 """Quality statistics of texts, and the texts that are not prose (problem 7).
 
-Statistics come from vectorised kernels over Arrow batches; fixed published thresholds (mean
-word length, symbol share, bullet lines, lines ending in punctuation, common words, repeated
-parts) then decide, and the first rule a text breaks is recorded as its reason.
+Statistics come from vectorised kernels over Arrow batches and are reported; rules with fixed
+thresholds of our own then decide for each text (``reason_of``), and the first rule a text
+breaks is recorded as its reason. Items and rows don't count as sentences.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from quillmetry.llm.langs import COMMON_WORDS, UNSPACED
 
-#: Thresholds after the published rules for web text (word length 3 to 10, symbols to words,
-#: 90 % bullets, 30 % ellipsis lines, repeated lines and words, terminal punctuation).
+#: Thresholds of our own, not the published ones for web text.
 RULES = {
     "sentence_share": 0.05,  # characters that stand in lines holding a sentence
     "garbled_share": 0.15,  # characters left by a wrong decoding
@@ -50,6 +49,8 @@ _LONG_RUN = re.compile("[฀-๿]{18,}")
 _ROW = re.compile(r"(?:^|[\t|;,=]|\s{2,})\s*-?\d[\d.,]*\s*(?:[\t|;,]|\s{2,}|$)")
 _SEPARATED = re.compile(r"[\t|;,=]|\s{2,}")
 _ITEM = re.compile(r"\s*(?:[-–—*•·▪◦‣+]|\(?\d{1,3}[.)]|\(?[^\W\d_][.)])\s+\S|.*\S\s*\.{4,}\s*\d+\s*$")
+_FIELDS = re.compile(r"[\t|;][^\t|;]*[\t|;]")
+_MARKED = re.compile(r"(?:[-–—*•·▪◦‣+]|\(?\d{1,3}[.)]|\(?[^\W\d_]\))\s+\S")
 _RUN = re.compile(r"(\S)\1{7,}")
 _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{30,}")
 _URL = re.compile(r"https?://\S+|www\.\S+")
@@ -89,12 +90,19 @@ def reason_of(text: str, garbled_share: float) -> tuple[str | None, float]:
     if not lines:
         return None, 0.0
     chars = sum(map(len, lines))
-    share = _sentence_chars(lines) / chars
+    n = len(lines)
+    # A single item is a paragraph that begins with a number or dash; a letter and period may be a name.
+    listed = [x for x in lines if _MARKED.match(x)] if n >= 3 else []
+    if len(listed) < RULES["item_share"] * n:
+        listed = []
+    rows = [x for x in lines if _FIELDS.search(x) and _ROW.search(x) and not _ITEM.match(x)] if n >= 2 else []
+    if len(rows) < RULES["row_share"] * n:
+        rows = []
+    share = (_sentence_chars(lines) - _sentence_chars(listed) - _sentence_chars(rows)) / chars
     if garbled_share >= RULES["garbled_share"]:
         return "garbled", share
     if share >= RULES["sentence_share"]:
         return None, share
-    n = len(lines)
     words = text.split()
     dense = sum(map(len, words))
     items = sum(1 for x in lines if _ITEM.match(x))

@@ -167,3 +167,13 @@ def test_subjects(spark):
     right = sum(found.get(i, set()) == set(truth[i]) for i in truth)
     assert right >= 0.9 * len(truth) and 900 not in found and 901 not in found
     assert topics.document_subjects(df.limit(0), "doc_id", "text", areas, labels).count() == 0
+
+
+def test_items_and_rows_with_end_marks():
+    reason = lambda text: quality.reason_of(text, 0.0)[0]
+    assert reason("- Buy milk and bread.\n" * 30) == "items"
+    assert reason("\n".join(f"{i}. Ask the neighbours about it." for i in range(1, 9))) == "items"
+    assert reason("\n".join(f"street {i} | {i * 7} | It was sold." for i in range(9))) == "rows"
+    assert reason(PROSE + "\n- Buy milk.\n- Buy some bread.\n- Go home now.") is None
+    assert reason("1. " + PROSE) is None
+    assert reason("\n".join(PROSE.split(". ")) + ".") is None
