@@ -38,6 +38,7 @@ CLOSE = set(OPEN.values())
 BRACKETS = set("([{（【")
 PLAIN_QUOTES = '"״＂'
 _DOUBLE = set(PLAIN_QUOTES + "“”")  # may close each other: styles get mixed
+_BLANKS, _NEXT = re.compile(r"\s*"), re.compile(r"\S+")
 _EVENT = re.compile(r"[.!?…。！？｡．؟۔।॥]+|[" + re.escape("".join(sorted(set(OPEN) | CLOSE | set(PLAIN_QUOTES)))) + "]")
 _FULL = set("。！？｡")  # needs no blank after it
 _PERIODS = set(".．")
@@ -357,7 +358,9 @@ class Splitter:
             inner = 0
 
     def _is_end(self, s, at, end, first, mark, ch, closed, e, lang, inner, east) -> bool:
-        nxt = s[e : min(end, e + 80)].split(maxsplit=1)[0]
+        at_next = _BLANKS.match(s, e, end).end()
+        # Unspaced scripts have no words to look up: the beginning is enough there.
+        nxt = _NEXT.match(s, at_next, min(end, at_next + 80) if lang in UNSPACED else end).group()
         bare = nxt.lstrip(_OPENERS)
         lead = bare[:1]
         lower = lead.islower()

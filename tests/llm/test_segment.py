@@ -61,3 +61,11 @@ def test_edges(spark):
 
 def test_language():
     assert [langs.language(t) for t in ("שלום לכם", "the cat and a dog", "der Hund und die Katze", "le chat et la souris", "это кот", "هذا قط", "这是猫", "これは猫です", "यह है", "นี่คือ", "123", None)] == ["he", "en", "de", "fr", "ru", "ar", "zh", "ja", "hi", "th", "und", "und"]
+
+
+@pytest.mark.parametrize("blanks", [1, 75, 100, 1336])
+def test_many_blanks_after_a_mark(model, blanks):
+    gap = " " * blanks
+    assert parts(f"It was late.{gap}Nobody knew why.{gap}", model) == ["It was late.", "Nobody knew why."]
+    assert parts(f"He saw Dr.{gap}Who there. The end.", model) == [f"He saw Dr.{gap}Who there.", "The end."]
+    assert parts(f"他走了！{gap}我们回家。") == ["他走了！", "我们回家。"]
