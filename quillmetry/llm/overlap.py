@@ -7,13 +7,19 @@ texts that share a part ``t`` of the longer one's words have a dot product of at
 * Words are ordered from rare to frequent, by counters of fixed size. In that order the words
   behind the first ``n - ceil(t n) + 1`` have a residual norm below ``t``: a pair must share
   one of the words before, so all of those enter the inverted lists and one hit is enough.
-  The lists of frequent words are split by ranges of length.
+  Words that only one part holds can't be shared; they count in the order but have no list.
+  The lists of frequent words are split by ranges of length and, beyond, by salt.
 * The join keeps what a true pair must fulfil at the first word in common: lengths, places in
-  both texts and ranks in both orders that leave room for ``t`` of the longer text.
+  both texts and ranks in both orders that leave room for ``t`` of the longer text, and a
+  bound of the words of one text that the other lacks, from sketches of the two vectors
+  (a bit per word and number of its occurrence).
 * A word that is left out breaks two pairs of neighbours at most, one that is put in one: of texts
-  of ``n`` and ``m`` words with ``c`` in common ``3 c - n - m - 1`` neighbours stay. Sketches of
-  the neighbours drop the pairs below, in blocks, so that no text is sent once per pair.
+  of ``n`` and ``m`` words with ``c`` in common ``3 c - n - m - 1`` neighbours stay. Larger
+  sketches of words and neighbours drop pairs below these bounds, in cells of texts that have
+  pairs, so that a text is sent once a cell and never more often than it has pairs.
 * The exact dot product, then the longest common subsequence of words, decide.
+
+No step drops a pair that meets the definition.
 """
 
 from __future__ import annotations
@@ -22,12 +28,14 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmetry.llm.looks import one_form
@@ -35,20 +43,41 @@ from quillmetry.session import staged
 
 #: Counters of document frequency: fixed in number, so their size doesn't grow with the corpus.
 COUNTERS = 1 << 20
-#: Words that more texts hold than this have a list per range of length.
-HOT = 500
-#: Words of a block of texts, the least numbers of blocks, and bits of the sketch of a text.
-BLOCK_WORDS, LEAST_BLOCKS, SKETCH = 4_000_000, (6, 2), 2048
+#: Words that more texts hold than this have a list per range of length; those lists are salted per so many texts.
+HOT, SALTED = 2000, 200_000
+#: Bits of the sketches in the lists, and the longest texts that have one of 256 and of 512 bits.
+LIST_BITS, SHORT_TEXT, MEDIUM_TEXT = 512, 192, 600
+#: Words and pairs of a cell of texts, and bits of the sketches there.
+CELL_WORDS, CELL_PAIRS, SKETCH = 2_000_000, 1_000_000, 4096
+#: Rows that may be broadcast (some 50 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _EAST = re.compile("([々-〇぀-ヿ㐀-鿿豈-﫿฀-๿])")
 _SPLIT = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Characters that are turned into words at once.
+CHUNK = 1_000_000
+_UNKNOWN, _DROPPED, _BLANK, _END, _MARK, _LETTER, _EAST_MARK, _EAST_LETTER = range(8)
+
+
+def _kind_of(ch: str) -> int:
+    """What a character does: it is dropped, parts words, or belongs to one."""
+    if ch == "\0":
+        return _END
+    if ch.isspace():
+        return _BLANK
+    letter = ch.isalnum()
+    if not letter and unicodedata.category(ch)[0] != "M":
+        return _DROPPED
+    if _EAST.match(ch):
+        return _EAST_LETTER if letter else _EAST_MARK
+    return _LETTER if letter else _MARK
 
 
 class _Plain(dict):
     """Translation that drops all but letters, digits, marks and blanks."""
 
     def __missing__(self, cp: int):
-        ch = chr(cp)
-        got = self[cp] = ch if ch.isalnum() or ch.isspace() or unicodedata.category(ch)[0] == "M" else None
+        got = self[cp] = None if _kind_of(chr(cp)) in (_DROPPED, _END) else chr(cp)
         return got
 
 
@@ -68,15 +97,78 @@ def words_of(text: str | None) -> list[str]:
     return text.split()
 
 
+class HashedWords:
+    """``words_of`` many texts at once, as hashes of 64 bits: code points are classified and hashed as arrays."""
+
+    def __init__(self) -> None:
+        self._kind = np.zeros(0x110000, np.uint8)  # filled as characters are met
+        code = (np.arange(1, 0x110001, dtype=np.uint64) * _SPLIT) & np.uint64(0xFFFFFFFFFFFFFFFF)
+        self._code = (code ^ (code >> np.uint64(30))) * _MIX
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all words, the number of words of each text, and the number of those with a letter or digit."""
+        parts, chunk, size = [], [], 0
+        for t in texts:
+            chunk.append(one_form(t) if t else "")
+            size += len(chunk[-1])
+            if size > CHUNK:
+                parts.append(self._hash(chunk))
+                chunk, size = [], 0
+        if chunk:
+            parts.append(self._hash(chunk))
+        if not parts:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(map(np.concatenate, zip(*parts)))
+
+    def _hash(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        joined = "\0".join([*forms, ""]).casefold().encode("utf-32-le", "surrogatepass")
+        cps = np.frombuffer(joined, "<u4")
+        kind = self._kind[cps]
+        if not kind.all():
+            for cp in np.unique(cps[kind == _UNKNOWN]):
+                self._kind[cp] = _kind_of(chr(cp))
+            kind = self._kind[cps]
+        kept = kind != _DROPPED
+        cps, kind = cps[kept], kind[kept]
+        east, solid = kind >= _EAST_MARK, kind >= _MARK
+        part = solid & ~east
+        begins = part.copy()
+        begins[1:] &= ~part[:-1]
+        at = np.flatnonzero(begins | east)
+        ends = np.flatnonzero(kind == _END)
+        if not len(at):
+            return np.empty(0, np.uint64), np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        length = np.diff(np.append(at, len(cps)))
+        place = np.arange(at[0], len(cps)) - np.repeat(at, length)
+        power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(place.max()), _SPLIT)]))
+        code = self._code[cps[at[0] :]] * power[place]
+        code[~solid[at[0] :]] = 0
+        words = np.add.reduceat(code, at - at[0])
+        words = (words ^ (words >> np.uint64(31))) * _MIX
+        words ^= words >> np.uint64(29)
+        text = np.searchsorted(ends, at)
+        letters = np.logical_or.reduceat((kind[at[0] :] == _LETTER) | (kind[at[0] :] == _EAST_LETTER), at - at[0])
+        return words, np.bincount(text, minlength=len(ends)), np.bincount(text, letters, len(ends)).astype(np.int64)
+
+
 def prefix_length(n: int, threshold: float) -> int:
     """Words that enter the lists: the residual of the others stays below the threshold."""
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
+def _in_order(words: np.ndarray, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words, the rarest first, equal words in text order; and the number of each among its equals."""
+    key = counters[words & (COUNTERS - 1)].astype(np.int64) << 32 | (words.astype(np.int64) & 0xFFFFFFFF)
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], np.arange(len(words))
+    new = np.ones(len(words), bool)
+    new[1:] = key[1:] != key[:-1]
+    return order, at - np.maximum.accumulate(np.where(new, at, 0))
+
+
 def list_entries(words: np.ndarray, counters: np.ndarray, threshold: float) -> np.ndarray:
     """Places of the words that enter the lists, the rarest first, equal words in text order."""
-    order = np.lexsort((words, counters[words & (COUNTERS - 1)]))
-    return order[: prefix_length(len(words), threshold)]
+    return _in_order(words, counters)[0][: prefix_length(len(words), threshold)]
 
 
 def length_range(n: int, threshold: float) -> int:
@@ -84,12 +176,24 @@ def length_range(n: int, threshold: float) -> int:
     return 1 + int(math.log(n) / max(0.01, -math.log(threshold)))
 
 
-def sketch(words: np.ndarray) -> np.ndarray:
+def vector_sketch(words: np.ndarray, number: np.ndarray, bits: int) -> np.ndarray:
+    """Bits of the words, each occurrence of a word (``number``) being one of its own.
+
+    The bits that another text's sketch lacks are no more than the occurrences it lacks. Half the
+    bits are the union of the halves.
+    """
+    code = (words.astype(np.int64).view(np.uint64) * _SPLIT + number.astype(np.uint64)) * _MIX
+    out = np.zeros(bits, np.uint8)
+    out[(code >> np.uint64(40)) & np.uint64(bits - 1)] = 1
+    return np.packbits(out).view(np.uint64)
+
+
+def neighbour_sketch(words: np.ndarray) -> np.ndarray:
     """Bits of the pairs of neighbours."""
     w = words.astype(np.int64).view(np.uint64)
-    bits = np.zeros(SKETCH, np.uint8)
-    bits[((w[:-1] * _SPLIT ^ (w[1:] + (w[:-1] >> np.uint64(29)))) * _SPLIT >> np.uint64(40)) % np.uint64(SKETCH)] = 1
-    return np.packbits(bits).view(np.uint64)
+    out = np.zeros(SKETCH, np.uint8)
+    out[((w[:-1] * _SPLIT ^ (w[1:] + (w[:-1] >> np.uint64(29)))) * _SPLIT >> np.uint64(40)) % np.uint64(SKETCH)] = 1
+    return np.packbits(out).view(np.uint64)
 
 
 def neighbours_left(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -133,93 +237,124 @@ def dot_product(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _tokens(df: DataFrame, item: str, text: str, side: str, least: int) -> DataFrame:
-    """item, side, hashed words, their number and a digest, for texts of ``least`` words at least."""
+    """item, side, hashed words (32 bits), their number and a digest, for texts of ``least`` words at least."""
     kind = df.schema[item].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        hashed = HashedWords()
         for batch in batches:
-            keep, values, ends, digests = [], [], [0], []
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                words = words_of(t)
-                if len(words) < least or sum(1 for w in words if any(map(str.isalnum, w))) < least:
-                    continue
-                if len(known) > 500_000:
-                    known.clear()
-                ids = []
-                for w in words:
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = xxhash.xxh3_64_intdigest(w) >> 1
-                    ids.append(h)
-                array = np.array(ids, dtype=np.int64)
-                keep.append(i)
-                values.append(array)
-                ends.append(ends[-1] + len(ids))
-                digests.append(xxhash.xxh3_128_hexdigest(array.tobytes()))
-            flat = pa.array(np.concatenate(values) if values else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            at = pa.array(keep, pa.int32())
-            n = pa.array(np.diff(ends).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), lists, n, pa.array(digests, pa.string())], names=["item", "side", "words", "n", "digest"])
+            words, n, letters = hashed(batch.column(2).to_pylist())
+            keep = np.flatnonzero(letters >= least)
+            stop = np.cumsum(n)
+            digests = [xxhash.xxh3_128_digest(words[stop[i] - n[i] : stop[i]].tobytes()) for i in keep]
+            short = words.astype(np.int32)[np.repeat(letters >= least, n)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)), pa.array(short))
+            at = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), lists, pa.array(n[keep].astype(np.int32)), pa.array(digests, pa.binary())], names=["item", "side", "words", "n", "digest"])
 
     rows = df.select(F.col(item).alias("item"), F.col(side).alias("side"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"item {kind}, side boolean, words array<bigint>, n int, digest string")
+    return rows.mapInArrow(run, f"item {kind}, side boolean, words array<int>, n int, digest binary")
 
 
-def _counters(df: DataFrame, column: str) -> np.ndarray:
-    """In how many rows each slot of hashed values occurs."""
+def _counters(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts each slot of hashed words occurs, and in which parts (bit 1 the first, 2 the second)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total, seen = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int8)
         for batch in batches:
-            for values in batch.column(0):
-                total[np.unique(values.values.to_numpy() & (COUNTERS - 1))] += 1
+            words, n = batch.column(0).flatten().to_numpy(), batch.column(1).to_numpy()
+            code = np.unique(np.repeat(np.arange(len(n)) << 20, n) | (words & (COUNTERS - 1)))
+            total += np.bincount(code & (COUNTERS - 1), minlength=COUNTERS)
+            for bit in (1, 2):
+                there = batch.column(1 + bit).to_numpy(zero_copy_only=False)
+                seen[code[there[code >> 20]] & (COUNTERS - 1)] |= bit
         slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot]), pa.array(seen[slot].astype(np.int32))], names=["slot", "n", "seen"])
+
+    counted = docs.select("words", "n", "first", "second").mapInArrow(run, "slot int, n long, seen int")
+    rows = counted.groupBy("slot").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen")).toArrow()  # at most COUNTERS rows
+    count, seen = np.zeros(COUNTERS, np.int32), np.zeros(COUNTERS, np.int8)
+    at = rows.column("slot").to_numpy()
+    count[at], seen[at] = np.minimum(rows.column("n").to_numpy(), 2**31 - 1), rows.column("seen").to_numpy()
+    return count, seen
 
-    counted = df.select(column).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = counted.toArrow()  # at most COUNTERS rows
-    out = np.zeros(COUNTERS, np.int32)
-    out[rows.column("slot").to_numpy()] = np.minimum(rows.column("n").to_numpy(), 2**31 - 1)
-    return out
+
+_LIST_LONGS = LIST_BITS // 64
 
 
 def _lists(docs: DataFrame, counters, threshold: float, out: str, every: bool) -> DataFrame:
-    """The inverted lists of one side: a row per word of the prefix, hot ones in their range of
-    length, or with ``every`` in each range that a partner can be in."""
+    """The inverted lists of one part: a row per word of the prefix that the other part also holds.
+
+    Hot words are listed in their range of length and one salt, or with ``every`` in each range that a
+    partner can be in and each salt.
+    """
+    names = [out, f"n_{out}", "entry", "part", f"from_{out}", f"to_{out}", f"rank_{out}", *(f"s{k}_{out}" for k in range(_LIST_LONGS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counters.value
+        count, seen = counters.value
         for batch in batches:
-            parts = [(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32))]
-            for i, words in enumerate(batch.column(2)):
-                w = words.values.to_numpy()
-                n = len(w)
-                place = list_entries(w, count, threshold).astype(np.int32)
-                rank, entry = np.arange(len(place), dtype=np.int32), w[place]
-                hot = count[entry & (COUNTERS - 1)] > HOT
+            flat, n_words = batch.column(2).flatten().to_numpy(), batch.column(1).to_numpy()
+            stop = np.cumsum(n_words)
+            parts = [[np.empty(0, kind)] for kind in (np.int64, np.int32, np.int32, np.int32, np.int32, np.int32)]
+            sketches = np.zeros((len(n_words), _LIST_LONGS), np.int64)
+            for i, n in enumerate(n_words.tolist()):
+                w = flat[stop[i] - n : stop[i]]
+                order, number = _in_order(w, count)
+                if n <= MEDIUM_TEXT:
+                    bits = LIST_BITS // 2 if n <= SHORT_TEXT else LIST_BITS
+                    sketches[i, : bits // 64] = vector_sketch(w[order], number, bits).view(np.int64)
+                length = prefix_length(n, threshold)
+                # A word has one row: the rank of its first occurrence, the places from the first to the last one.
+                rank = np.flatnonzero(number[:length] == 0)
+                to = order[np.append(rank[1:], length) - 1]
+                slot = w[order[rank]] & (COUNTERS - 1)
+                use = seen[slot] == 3
+                rank, to, slot = rank[use], to[use], slot[use]
+                start = order[rank]
+                entry, often = w[start], count[slot]
+                hot = often > HOT
                 low, high = (math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9)) if every else (n, n)
-                ranges = range(length_range(max(1, low), threshold), length_range(high, threshold) + 1)
-                for k, at in [(0, np.flatnonzero(~hot)), *((k, np.flatnonzero(hot)) for k in ranges)]:
-                    parts.append((np.full(len(at), i, np.int32), entry[at], np.full(len(at), k, np.int32), place[at], rank[at]))
-            at, *rest = (np.concatenate(x) for x in zip(*parts))
+                listed = [(np.flatnonzero(~hot), 0)]
+                salts = 1 + often // SALTED
+                for k in range(length_range(max(1, low), threshold), length_range(high, threshold) + 1) if hot.any() else ():
+                    if every:
+                        listed += [(np.flatnonzero(hot & (salts > salt)), k * 4096 + salt) for salt in range(salts[hot].max())]
+                    else:
+                        listed.append((np.flatnonzero(hot), k * 4096 + i % salts[hot]))
+                for at, part in listed:
+                    for held, x in zip(parts, (np.full(len(at), i), entry[at], np.broadcast_to(part, len(at)), start[at], to[at], rank[at])):
+                        held.append(x)
+            at, *rest = (np.concatenate(x) for x in parts)
             rows = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, rest)], names=[out, f"n_{out}", "entry", "range", f"place_{out}", f"rank_{out}"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in rest), *(pa.array(np.ascontiguousarray(sketches[at, k])) for k in range(_LIST_LONGS))], names=names
+            )
+
+    kinds = ["bigint", *["int"] * 6, *["bigint"] * _LIST_LONGS]
+    return docs.select("cls", "n", "words").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
-    return docs.select("cls", "n", "words").mapInArrow(run, f"{out} bigint, n_{out} int, entry bigint, range int, place_{out} int, rank_{out} int")
 
+def _lacking(x: list[Column], y: list[Column]) -> Column:
+    """Bits of x that y lacks."""
+    return reduce(add, (F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in zip(x, y)))
 
-def candidates(listed: DataFrame, counters, threshold: float) -> DataFrame:
+
+def candidates(docs: DataFrame, counters, threshold: float) -> DataFrame:
     """Pairs (a, b) of classes, a in the first part and b in the second, worth a comparison; some repeatedly."""
-    a = _lists(listed.where("first"), counters, threshold, "a", False)
-    b = _lists(listed.where("second"), counters, threshold, "b", True)
+    a = _lists(docs.where("first"), counters, threshold, "a", False)
+    b = _lists(docs.where("second"), counters, threshold, "b", True)
     least = F.greatest("n_a", "n_b") * threshold - 1e-9
     near = (F.least("n_a", "n_b") >= least) & (F.col("a") != F.col("b"))
     # Words in common stand before both places or behind both; none is rarer than the first.
-    placed_near = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= least
+    placed_near = F.least("to_a", "to_b") + F.least(F.col("n_a") - F.col("from_a"), F.col("n_b") - F.col("from_b")) >= least
     ranked_near = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= least
-    return a.join(b, ["entry", "range"]).where(near & placed_near & ranked_near).select("a", "b")
+    x, y = ([F.col(f"s{k}_{side}") for k in range(_LIST_LONGS)] for side in "ab")
+    half = _LIST_LONGS // 2
+    folded = lambda s: [p.bitwiseOR(q) for p, q in zip(s[:half], s[half:])]
+    alike = lambda x, y: (_lacking(x, y) <= F.col("n_a") - least) & (_lacking(y, x) <= F.col("n_b") - least)
+    unsketched = F.greatest("n_a", "n_b") > MEDIUM_TEXT
+    sketched = unsketched | alike(folded(x), folded(y)) & ((F.least("n_a", "n_b") <= SHORT_TEXT) | alike(x, y))
+    return a.join(b, ["entry", "part"]).where(near & placed_near & ranked_near & sketched).select("a", "b", "n_a")
 
 
 def _reaches(x: np.ndarray, y: np.ndarray, ys: np.ndarray, threshold: float) -> bool:
@@ -231,31 +366,65 @@ def _reaches(x: np.ndarray, y: np.ndarray, ys: np.ndarray, threshold: float) ->
     return dot_product(x, y) >= threshold - 1e-9 and common_words(x.tolist(), y.tolist(), least) >= least
 
 
-def _in_blocks(pairs: DataFrame, docs: DataFrame, words: str, threshold: float) -> DataFrame:
-    """The pairs that reach the threshold, each once, found per block of texts of either side."""
-    total = docs.agg(F.sum(F.when(F.col("first"), F.col("n"))), F.sum(F.when(F.col("second"), F.col("n")))).first()
-    n_a, n_b = (max(least, math.ceil((x or 0) / BLOCK_WORDS)) for x, least in zip(total, LEAST_BLOCKS))
-    block = lambda item, n: F.pmod(F.hash(item), F.lit(n))
-    texts = docs.where("first").select(F.lit(True).alias("is_a"), "cls", words, block("cls", n_a).alias("at_a"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("at_b"))
-    other = docs.where("second").select(F.lit(False).alias("is_a"), "cls", words, F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))).alias("at_a"), block("cls", n_b).alias("at_b"))
+def _held(rows: DataFrame) -> DataFrame:
+    """``rows`` for a broadcast if they are of a checked size, else as they are."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
 
-    def side(table: pa.Table, is_a: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+def _sketches(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    zero = np.zeros(1 << 20, np.int8)
+    return np.array([vector_sketch(x[(o := _in_order(x, zero))[0]], o[1], SKETCH) for x in texts]), np.array([neighbour_sketch(x) for x in texts])
+
+
+def _in_cells(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that reach the threshold, each once. ``pairs``: staged, with ``a``, ``b``, ``n_a``.
+
+    A cell holds the pairs of one range of length of ``a``, and of blocks of it by both sides,
+    with the texts of these pairs.
+    """
+    range_of = lambda n: (F.floor(F.log(n) / max(0.01, -math.log(threshold))) + 1).cast("int")
+    words = docs.groupBy(range_of("n").alias("k")).agg(F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("first"), F.sum(F.when(F.col("second"), F.col("n")).otherwise(0)).alias("second")).collect()  # a row a range
+    found = {r.k: r.n for r in pairs.groupBy(range_of("n_a").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, second = {r.k: r.first for r in words}, {r.k: r.second for r in words}
+    blocks: dict[int, tuple[int, int]] = {}
+    for k, n in found.items():
+        near = sum(second.get(x, 0) for x in (k - 1, k, k + 1, k + 2))
+        in_a, in_b = (max(1, math.ceil(x / CELL_WORDS)) for x in (first.get(k, 0), near))
+        blocks[k] = (max(in_a, math.ceil(n / CELL_PAIRS / in_b)), in_b)
+    if not blocks:
+        return pairs.select("a", "b").limit(0)
+    number = lambda side: F.element_at(F.create_map(*(F.lit(x) for k, v in blocks.items() for x in (k, v[side]))), F.col("k"))
+    keyed = pairs.withColumn("k", range_of("n_a"))
+    keyed = keyed.select("a", "b", "k", F.pmod(F.hash("a"), number(0)).alias("i"), F.pmod(F.hash("b"), number(1)).alias("j"))
+    cell = ["k", "i", "j"]
+    texts = None
+    for side in "ab":
+        wanted = staged(keyed.select(F.col(side).alias("cls"), *cell).distinct(), "overlap-wanted")
+        rows = docs.select("cls", "words").join(_held(wanted), "cls").select(F.lit(side == "a").alias("is_a"), "cls", "words", *cell)
+        texts = rows if texts is None else texts.unionByName(rows)
+
+    def part(table: pa.Table, is_a: bool) -> tuple[np.ndarray, list[np.ndarray]]:
         own = table.filter(pc.equal(table.column("is_a"), is_a)).combine_chunks().sort_by("cls")
-        return own.column("cls").to_numpy(), [x.values.to_numpy() for x in own.column(words)]
+        return own.column("cls").to_numpy(), [x.values.to_numpy() for x in own.column("words")]
 
     def run(found: pa.Table, texts: pa.Table) -> pa.Table:
         keep: tuple[list[int], list[int]] = ([], [])
         if found.num_rows:
-            (ids_a, words_a), (ids_b, words_b) = side(texts, True), side(texts, False)
+            (ids_a, words_a), (ids_b, words_b) = part(texts, True), part(texts, False)
             code = np.unique(np.searchsorted(ids_b, found.column("b").to_numpy()) * len(ids_a) + np.searchsorted(ids_a, found.column("a").to_numpy()))
             len_a, len_b = np.array([*map(len, words_a)]), np.array([*map(len, words_b)])
-            bits_a, bits_b = np.array([sketch(x) for x in words_a]), np.array([sketch(x) for x in words_b])
+            (vector_a, near_a), (vector_b, near_b) = _sketches(words_a), _sketches(words_b)
+            lacking = lambda x, y: np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
             last, ys = -1, None
             for begin in range(0, len(code), 20_000):
                 j, i = np.divmod(code[begin : begin + 20_000], len(ids_a))
-                x, y = bits_a[i], bits_b[j]
+                least = threshold * np.maximum(len_a[i], len_b[j]) - 1e-9
+                x, y = vector_a[i], vector_b[j]
+                fits = (lacking(x, y) <= len_a[i] - least) & (lacking(y, x) <= len_b[j] - least)
+                i, j = i[fits], j[fits]
+                x, y = near_a[i], near_b[j]
                 left = neighbours_left(len_a[i], len_b[j], threshold)
-                fits = (np.bitwise_count(x & ~y).sum(1, dtype=np.int64) <= len_a[i] - 1 - left) & (np.bitwise_count(y & ~x).sum(1, dtype=np.int64) <= len_b[j] - 1 - left)
+                fits = (lacking(x, y) <= len_a[i] - 1 - left) & (lacking(y, x) <= len_b[j] - 1 - left)
                 for p, q in zip(i[fits].tolist(), j[fits].tolist()):
                     if q != last:
                         last, ys = q, placed(words_b[q])
@@ -264,31 +433,61 @@ def _in_blocks(pairs: DataFrame, docs: DataFrame, words: str, threshold: float)
                         keep[1].append(ids_b[q])
         return pa.table({"a": pa.array(keep[0], pa.int64()), "b": pa.array(keep[1], pa.int64())})
 
-    keyed = pairs.select("a", "b", block("a", n_a).alias("at_a"), block("b", n_b).alias("at_b"))
-    return keyed.groupBy("at_a", "at_b").cogroup(texts.unionByName(other).groupBy("at_a", "at_b")).applyInArrow(run, "a bigint, b bigint")
+    return keyed.groupBy(*cell).cogroup(texts.groupBy(*cell)).applyInArrow(run, "a bigint, b bigint")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, words: str, threshold: float) -> DataFrame:
-    """The pairs whose dot product and longest common subsequence reach the threshold."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, df: DataFrame, item: str, text: str, threshold: float) -> DataFrame:
+    """The pairs (staged) whose texts, read again and with words in 64 bits, reach the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = staged(docs.select("cls", "item", "digest").join(_held(ids), "cls"), "overlap-alike-items")
+    rows = df.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text")).join(_held(wanted), "item").select("cls", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = HashedWords()
         for batch in batches:
-            keep, last, ys = [], None, None
-            first, second = batch.column(2), batch.column(3)
-            xs, at_x = first.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(first).to_pylist()])
-            all_y, at_y = second.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(second).to_pylist()])
-            for i, other in enumerate(batch.column(1).to_pylist()):
-                x, y = xs[at_x[i] : at_x[i + 1]], all_y[at_y[i] : at_y[i + 1]]
-                if other != last:
-                    last, ys = other, placed(y)
-                if _reaches(x, y, ys, threshold):
+            words, n, _ = hashed(batch.column(2).to_pylist())
+            stop = np.cumsum(n)
+            own = [words[b - k : b] for b, k in zip(stop, n)]
+            # An item may stand in several rows; the one of this class is meant.
+            same = [i for i, (w, d) in enumerate(zip(own, batch.column(1).to_pylist())) if xxhash.xxh3_128_digest(w.tobytes()) == d]
+            lists = pa.array([own[i].view(np.int64) for i in same], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same, pa.int32())), lists], names=["cls", "words"])
+
+    whole = rows.mapInArrow(run, "cls bigint, words array<bigint>").groupBy("cls").agg(F.first("words").alias("words"))
+    whole = staged(whole, "overlap-alike-words")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                if _reaches(x, y, placed(y), threshold):
                     keep.append(i)
-            rows = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
+            at = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    left = whole.select(F.col("cls").alias("a"), F.col("words").alias("words_a"))
+    right = whole.select(F.col("cls").alias("b"), F.col("words").alias("words_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b").mapInArrow(compare, "a bigint, b bigint")
+
 
-    left = docs.select(F.col("cls").alias("a"), F.col(words).alias("words_a"))
-    right = docs.select(F.col("cls").alias("b"), F.col(words).alias("words_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
+def linked_classes(df: DataFrame, item: str, text: str, in_first: str, threshold: float = 0.8, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Members (``item``, ``side``, ``cls``) of the classes of texts with the same words, and links (``a``, ``b``) of classes.
+
+    ``a`` holds items of the first part and ``b`` of the second; a class that holds both is linked with itself.
+    """
+    usable = df.where(F.col(in_first).isNotNull() & F.col(item).isNotNull())
+    tokens = staged(_tokens(usable, item, text, in_first, least), "overlap-words")
+    docs = tokens.groupBy("digest").agg(F.first("item").alias("item"), F.max("side").alias("first"), (~F.min("side")).alias("second"), F.first("n").alias("n"), F.first("words").alias("words"))
+    docs = staged(docs.withColumn("cls", F.monotonically_increasing_id()), "overlap-classes")
+    counters = df.sparkSession.sparkContext.broadcast(_counters(docs))
+    found = staged(candidates(docs, counters, threshold), "overlap-candidates")
+    # Words of 32 bits first: two words in one can only make a pair look more alike.
+    alike = staged(_in_cells(found, docs, threshold), "overlap-alike")
+    links = _confirmed(alike, docs, usable, item, text, threshold)
+    same = docs.where("first and second").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    members = tokens.select("item", "side", "digest").join(docs.select("digest", "cls"), "digest").select("item", "side", "cls").distinct()
+    return members, links.unionByName(same)
 
 
 def overlapping_pairs(df: DataFrame, item: str, text: str, in_first: str, threshold: float = 0.8, least: int = 10) -> DataFrame:
@@ -298,38 +497,25 @@ def overlapping_pairs(df: DataFrame, item: str, text: str, in_first: str, thresh
     with null take no part. A pair counts if the longest common subsequence of words is at
     least ``threshold`` of the longer text; texts of fewer than ``least`` words holding a
     letter or digit, null and empty texts are in no pair. Returns ``lo`` and ``hi``, each pair
-    once, whole: nothing is capped or sampled, and texts are compared over their full length.
+    once, whole: nothing is capped or sampled, no bound used on the way drops a pair that counts,
+    and texts are compared over their full length.
     """
-    tokens = staged(_tokens(df.where(F.col(in_first).isNotNull() & F.col(item).isNotNull()), item, text, in_first, least), "overlap-words")
-    classes = tokens.groupBy("digest").agg(F.min("item").alias("item"), F.max("side").alias("first"), (~F.min("side")).alias("second"))
-    classes = staged(classes.withColumn("cls", F.monotonically_increasing_id()), "overlap-classes")
-    docs = tokens.select("digest", "item", "words", "n").join(classes, ["digest", "item"])
-    docs = docs.groupBy("digest", "item").agg(*(F.first(c).alias(c) for c in ("cls", "n", "first", "second", "words")))
-    docs = docs.select("cls", "n", "first", "second", "words")
-    counters = df.sparkSession.sparkContext.broadcast(_counters(tokens, "words"))
-
-    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(4)
-            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-            short = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.flatten().to_numpy().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, short], names=["cls", "n", "first", "second", "words", "short"])
-
-    listed = docs.mapInArrow(shortened, "cls bigint, n int, first boolean, second boolean, words array<bigint>, short array<int>")
-    listed = staged(listed, "overlap-entries")
-    # Words of 32 bits first: two words in one can only make a pair look more alike.
-    alike = staged(_in_blocks(candidates(listed, counters, threshold), listed, "short", threshold), "overlap-alike")
-    alike = _compared(alike, listed, "words", threshold)
-    same = classes.where("first and second").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    members = tokens.select("item", "side", "digest").join(classes.select("digest", "cls"), "digest")
+    members, links = linked_classes(df, item, text, in_first, threshold, least)
     first = members.where("side").select(F.col("cls").alias("a"), F.col("item").alias("item_a"))
     second = members.where("not side").select(F.col("cls").alias("b"), F.col("item").alias("item_b"))
-    pairs = alike.unionByName(same).join(first, "a").join(second, "b").where(F.col("item_a") != F.col("item_b"))
+    pairs = links.join(first, "a").join(second, "b").where(F.col("item_a") != F.col("item_b"))
     return pairs.select(F.least("item_a", "item_b").alias("lo"), F.greatest("item_a", "item_b").alias("hi")).distinct()
 
 
-def overlap_report(df: DataFrame, pairs: DataFrame, item: str, split: str, source: str) -> DataFrame:
-    """Per split and source: records, those with a partner in another split, and the pairs they are in."""
-    links = pairs.select(F.explode(F.array("lo", "hi")).alias("__item")).groupBy("__item").agg(F.count(F.lit(1)).alias("links"))
-    rows = df.select(F.col(item).alias("__item"), F.col(split).alias("split"), F.col(source).alias("source")).join(links, "__item", "left")
+def overlap_report(df: DataFrame, members: DataFrame, links: DataFrame, item: str, split: str, source: str) -> DataFrame:
+    """Per split and source: records, those with a partner in the other part, and the pairs they are in.
+
+    Counted from the sizes of the linked classes (``linked_classes``); copies are not expanded into
+    pairs. Each item is meant to stand in one row; one with several texts counts its partners per text.
+    """
+    sizes = members.groupBy("cls").agg(F.count_if("side").alias("in_first"), F.count_if(~F.col("side")).alias("in_second"))
+    of = lambda key, other, size, side: links.join(sizes.withColumnRenamed("cls", other), other).groupBy(F.col(key).alias("cls")).agg(F.sum(size).alias("n")).withColumn("side", F.lit(side))
+    per_class = of("a", "b", "in_second", True).unionByName(of("b", "a", "in_first", False))
+    per_item = members.join(per_class, ["cls", "side"]).groupBy(F.col("item").alias("__item")).agg(F.sum("n").alias("links"))
+    rows = df.select(F.col(item).alias("__item"), F.col(split).alias("split"), F.col(source).alias("source")).join(per_item, "__item", "left")
     return rows.groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("links").alias("overlapping"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmetry.llm import bpe, level, looks, overlap, packing, pieces, quality, quantiles, segment, topics
-from quillmetry.session import spread
+from quillmetry.session import spread, staged
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,16 +20,20 @@ def _texts_of(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> Da
     return spread(_read(spark, sf_dir, table).select(*columns))
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with ``train``: true in the train split, false in val and test, null elsewhere."""
     records = _texts_of(spark, sf_dir, "training_records", "record_id", "text", "split")
-    records = records.withColumn("train", F.when(F.col("split") == "train", True).when(F.col("split").isin("val", "test"), False))
-    pairs = overlap.overlapping_pairs(records, "record_id", "text", "train")
+    return records.withColumn("train", F.when(F.col("split") == "train", True).when(F.col("split").isin("val", "test"), False))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlap.overlapping_pairs(_by_split(spark, sf_dir), "record_id", "text", "train")
     return pairs.select(F.col("lo").alias("record_lo"), F.col("hi").alias("record_hi"))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = p1_found(spark, sf_dir).toDF("lo", "hi")
-    return overlap.overlap_report(_read(spark, sf_dir, "training_records"), pairs, "record_id", "split", "source")
+    members, links = overlap.linked_classes(_by_split(spark, sf_dir), "record_id", "text", "train")
+    return overlap.overlap_report(_read(spark, sf_dir, "training_records"), members, staged(links, "overlap-links"), "record_id", "split", "source")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
