@@ -83,7 +83,9 @@ _DOC_STATS = _FEATURES + "," + _stats("(UNPIVOT f ON COLUMNS(* EXCLUDE doc_id) I
 
 
 def _round(columns: str, places: int = 6) -> str:
-    return ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in columns.split())
+    """Rounded columns; as in the queries, 2e-9 keeps halves of the last place from falling either way."""
+    bias = " + 2e-9" if places == 6 else ""
+    return ", ".join(f"round({c}{bias}, {places}) + 0.0 AS {c}" for c in columns.split())
 
 
 _STAT_COLUMNS = "mean std min max p10 p25 p50 p75 p90"
@@ -211,74 +213,74 @@ def oracle_sql() -> dict[str, str]:
     out["binyan_distribution"] = f"WITH {_TOKENS} SELECT doc_id, binyan, count(*) AS n FROM tb WHERE binyan IS NOT NULL GROUP BY ALL"
     out["freq_dict"] = f"SELECT token, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '{WORD}')) AS token FROM training_records) GROUP BY 1"
     out["rare_word_ratio"] = f"""WITH {_TOKENS}, fd AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '{WORD}')) AS token FROM training_records) GROUP BY 1),
- rw AS (SELECT doc_id, avg((coalesce(cnt, 0) < {C.RARE_COUNT})::INT) AS r FROM tb LEFT JOIN fd ON fd.token = tb.lemma GROUP BY 1) SELECT d.doc_id, round(coalesce(r, 0), 6)::DOUBLE AS rare_word_ratio FROM documents d LEFT JOIN rw USING (doc_id)"""
+ rw AS (SELECT doc_id, avg((coalesce(cnt, 0) < {C.RARE_COUNT})::INT) AS r FROM tb LEFT JOIN fd ON fd.token = tb.lemma GROUP BY 1) SELECT d.doc_id, round(coalesce(r, 0) + 2e-9, 6)::DOUBLE AS rare_word_ratio FROM documents d LEFT JOIN rw USING (doc_id)"""
     out["feature_stats"] = f"WITH {_DOC_STATS} {_STAT_SELECT}"
     out["feature_stats_flat"] = f"WITH {_stats('flat_features')} {_STAT_SELECT}"
     merged = "(SELECT feature, value FROM flat_features UNION ALL SELECT unnest(map_keys(raw_features)), unnest(map_values(raw_features)) FROM analysis_inputs)"
     out["feature_stats_merged"] = f"WITH {_stats(merged)} {_STAT_SELECT}"
     out["composite_scores"] = f"WITH {_FEATURES}, sc AS (SELECT {_SCORES} FROM f) SELECT doc_id, {_round(' '.join(C.SCORE_KEYS))} FROM sc"
-    out["normalized_features"] = f"WITH {_FEATURES} SELECT doc_id, " + ", ".join(f"round({_normalized(f)}, 6) + 0.0 AS {f}" for f in [*C.RANGES, *C.PASS_THROUGH] if f != "rare_word_ratio") + " FROM f"
-    out["issue_table"] = f"WITH {_ISSUES} SELECT doc_id, emit_order, type, issue_group, round(severity, 6)::DOUBLE AS severity, round(least(1, confidence), 6)::DOUBLE AS confidence, span FROM iss"
-    out["group_scores"] = f"WITH {_ISSUES} SELECT doc_id, issue_group, round(avg(severity), 6)::DOUBLE AS group_score, count(*) AS issues FROM iss GROUP BY ALL"
+    out["normalized_features"] = f"WITH {_FEATURES} SELECT doc_id, " + ", ".join(f"round({_normalized(f)} + 2e-9, 6) + 0.0 AS {f}" for f in [*C.RANGES, *C.PASS_THROUGH] if f != "rare_word_ratio") + " FROM f"
+    out["issue_table"] = f"WITH {_ISSUES} SELECT doc_id, emit_order, type, issue_group, round(severity + 2e-9, 6)::DOUBLE AS severity, round(least(1, confidence) + 2e-9, 6)::DOUBLE AS confidence, span FROM iss"
+    out["group_scores"] = f"WITH {_ISSUES} SELECT doc_id, issue_group, round(avg(severity) + 2e-9, 6)::DOUBLE AS group_score, count(*) AS issues FROM iss GROUP BY ALL"
     out["ranked_issues_topk"] = f"""WITH {_ISSUES}, rr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(0.7 * severity + 0.3 * group_score, 9) DESC, emit_order) AS rank FROM iss)
- SELECT doc_id, rank, type, issue_group, round(severity, 6)::DOUBLE AS severity, round(least(1, confidence), 6)::DOUBLE AS confidence, span, round(round(0.7 * severity + 0.3 * group_score, 9), 6)::DOUBLE AS rank_score, round(group_score, 6)::DOUBLE AS group_score FROM rr WHERE rank <= 5"""
-    out["issue_vector"] = f"WITH {_ISSUES} SELECT doc_id, " + ", ".join(f"round(coalesce(max(severity) FILTER (type = '{k}'), 0), 6)::DOUBLE AS {k}" for k in C.ISSUE_KEYS) + " FROM iss GROUP BY 1"
+ SELECT doc_id, rank, type, issue_group, round(severity + 2e-9, 6)::DOUBLE AS severity, round(least(1, confidence) + 2e-9, 6)::DOUBLE AS confidence, span, round(round(0.7 * severity + 0.3 * group_score, 9) + 2e-9, 6)::DOUBLE AS rank_score, round(group_score + 2e-9, 6)::DOUBLE AS group_score FROM rr WHERE rank <= 5"""
+    out["issue_vector"] = f"WITH {_ISSUES} SELECT doc_id, " + ", ".join(f"round(coalesce(max(severity) FILTER (type = '{k}'), 0) + 2e-9, 6)::DOUBLE AS {k}" for k in C.ISSUE_KEYS) + " FROM iss GROUP BY 1"
     out["diagnosis_table"] = f"WITH {_DIAGNOSES} SELECT doc_id, type, {_round('severity confidence')} FROM dia"
-    out["intervention_table"] = f"WITH {_DIAGNOSES} SELECT doc_id, type AS diagnosis, intervention, round(severity, 6) + 0.0 AS priority, focus_features FROM dia JOIN {_MAPPED} USING (type)"
+    out["intervention_table"] = f"WITH {_DIAGNOSES} SELECT doc_id, type AS diagnosis, intervention, round(severity + 2e-9, 6) + 0.0 AS priority, focus_features FROM dia JOIN {_MAPPED} USING (type)"
     out["analyze_view"] = f"""WITH {_DIAGNOSES}, sh AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(severity, 9) DESC, rule_order) AS place FROM dia WHERE severity > 0.45)
- SELECT doc_id, type AS diagnosis, intervention, round(severity, 6) + 0.0 AS priority, place, {_BAND.format('severity')} AS band FROM sh JOIN {_MAPPED} USING (type) WHERE place <= 3"""
+ SELECT doc_id, type AS diagnosis, intervention, round(severity + 2e-9, 6) + 0.0 AS priority, place, {_BAND.format('severity')} AS band FROM sh JOIN {_MAPPED} USING (type) WHERE place <= 3"""
     out["text_ratios"] = f"WITH {_RATIOS} SELECT doc_id, marks, {_round('hebrew repetition links')} FROM ra WHERE text IS NOT NULL"
     out["quality_gate"] = f"WITH {_RATIOS} {_GATE}"
     out["rejection_histogram"] = f"WITH {_RATIOS} SELECT reason, count(*) AS n FROM ({_GATE}) GROUP BY 1"
     out["fixed_size_groups"] = f"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
  l1 AS (SELECT doc_id, k, regexp_replace(line, {_STRIP}, '', 'g') AS line FROM l0), l2 AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) - 1 AS r FROM l1 WHERE line <> '')
  SELECT printf('doc_%07d', r // 20 + 1) AS doc, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY r)) AS digest FROM l2 GROUP BY r // 20"""
-    out["summary_stats"] = f"WITH {_SUMMARY} SELECT feature, n, {_round('min max mean median stdev q1 q3')}, round(q3 - q1, 6) + 0.0 AS iqr, round(q1 - 1.5 * (q3 - q1), 6) + 0.0 AS lower, round(q3 + 1.5 * (q3 - q1), 6) + 0.0 AS upper FROM su"
-    out["iqr_outliers"] = f"""WITH {_SUMMARY} SELECT doc_id, feature, round(value, 6) + 0.0 AS value, CASE WHEN value < q1 - 1.5 * (q3 - q1) THEN 'LOW' ELSE 'HIGH' END AS side FROM flat_features JOIN su USING (feature)
+    out["summary_stats"] = f"WITH {_SUMMARY} SELECT feature, n, {_round('min max mean median stdev q1 q3')}, round(q3 - q1 + 2e-9, 6) + 0.0 AS iqr, round(q1 - 1.5 * (q3 - q1) + 2e-9, 6) + 0.0 AS lower, round(q3 + 1.5 * (q3 - q1) + 2e-9, 6) + 0.0 AS upper FROM su"
+    out["iqr_outliers"] = f"""WITH {_SUMMARY} SELECT doc_id, feature, round(value + 2e-9, 6) + 0.0 AS value, CASE WHEN value < q1 - 1.5 * (q3 - q1) THEN 'LOW' ELSE 'HIGH' END AS side FROM flat_features JOIN su USING (feature)
  WHERE value IS NOT NULL AND NOT isnan(value) AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))"""
     out["range_fitness"] = f"""WITH {_SUMMARY}, rf AS (SELECT feature, any_value(low) AS low, any_value(high) AS high, count(*) FILTER (value < low) AS below, count(*) FILTER (value > high) AS above, count(*) AS n FROM rk JOIN {_RANGES} USING (feature) GROUP BY 1)
- SELECT feature, below, rf.n - below - above AS inside, above, round(100.0::DOUBLE * below / rf.n, 6) AS pct_below, round(100.0::DOUBLE * above / rf.n, 6) AS pct_above,
+ SELECT feature, below, rf.n - below - above AS inside, above, round(100.0::DOUBLE * below / rf.n + 2e-9, 6) AS pct_below, round(100.0::DOUBLE * above / rf.n + 2e-9, 6) AS pct_above,
  CASE WHEN 100.0 * below / rf.n > 20 OR 100.0 * above / rf.n > 20 THEN 'widen' WHEN below + above = 0 AND max - min < 0.3 * (high - low) THEN 'tighten' ELSE 'fits' END AS verdict,
- CASE WHEN 100.0 * below / rf.n > 20 OR 100.0 * above / rf.n > 20 THEN round(greatest(0, q1 - 0.5 * (q3 - q1)), 6) + 0.0 END AS suggested_low, CASE WHEN 100.0 * below / rf.n > 20 OR 100.0 * above / rf.n > 20 THEN round(q3 + 0.5 * (q3 - q1), 6) + 0.0 END AS suggested_high FROM rf JOIN su USING (feature)"""
+ CASE WHEN 100.0 * below / rf.n > 20 OR 100.0 * above / rf.n > 20 THEN round(greatest(0, q1 - 0.5 * (q3 - q1)) + 2e-9, 6) + 0.0 END AS suggested_low, CASE WHEN 100.0 * below / rf.n > 20 OR 100.0 * above / rf.n > 20 THEN round(q3 + 0.5 * (q3 - q1) + 2e-9, 6) + 0.0 END AS suggested_high FROM rf JOIN su USING (feature)"""
     out["null_counts"] = "SELECT feature, count(*) FILTER (value IS NULL) AS nulls, count(*) AS n FROM flat_features GROUP BY 1"
     out["layer_health"] = f"""WITH {_WIDE} SELECT count(*) AS total, count(verb_ratio) AS morphology_ok, count(avg_sentence_length) AS syntax_ok, count(*) FILTER (verb_ratio IS NOT NULL AND avg_sentence_length IS NOT NULL) AS both_ok,
- round(100.0::DOUBLE * count(*) FILTER (verb_ratio IS NOT NULL AND avg_sentence_length IS NOT NULL) / count(*), 6) AS pct, min(doc_id) FILTER (verb_ratio IS NULL OR avg_sentence_length IS NULL) AS first_failing FROM w"""
+ round(100.0::DOUBLE * count(*) FILTER (verb_ratio IS NOT NULL AND avg_sentence_length IS NOT NULL) / count(*) + 2e-9, 6) AS pct, min(doc_id) FILTER (verb_ratio IS NULL OR avg_sentence_length IS NULL) AS first_failing FROM w"""
     targets = ["avg_sentence_length", "type_token_ratio"]
     cells = " UNION ALL ".join(f"SELECT '{a}' AS score, '{b}' AS feature, {_pearson(a, b)} AS r FROM w" for a in targets for b in C.FEATURES if b not in targets)
-    out["feature_correlations"] = f"WITH {_WIDE}, cc AS ({cells}), pl AS (SELECT *, row_number() OVER (PARTITION BY score ORDER BY round(abs(r), 9) DESC, feature) AS place FROM cc WHERE abs(r) > 0.05) SELECT score, feature, round(r, 6) + 0.0 AS r, place FROM pl WHERE place <= 8"
+    out["feature_correlations"] = f"WITH {_WIDE}, cc AS ({cells}), pl AS (SELECT *, row_number() OVER (PARTITION BY score ORDER BY round(abs(r), 9) DESC, feature) AS place FROM cc WHERE abs(r) > 0.05) SELECT score, feature, round(r + 2e-9, 6) + 0.0 AS r, place FROM pl WHERE place <= 8"
     keys = sorted(C.SCORE_KEYS)
     cells = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_pearson(a, b)} AS r FROM fsc" for i, a in enumerate(keys) for b in keys[i + 1 :])
-    out["score_correlations"] = f"WITH {_FINITE}, cc AS ({cells}) SELECT a, b, round(r, 6) + 0.0 AS r, abs(r) > 0.7 AS redundant FROM cc"
+    out["score_correlations"] = f"WITH {_FINITE}, cc AS ({cells}) SELECT a, b, round(r + 2e-9, 6) + 0.0 AS r, abs(r) > 0.7 AS redundant FROM cc"
     out["score_histogram"] = "SELECT greatest(0, least(9, floor(greatest(least(difficulty, 1e6), -1e6) * 10)))::INT AS bucket, count(*) AS n FROM scores WHERE difficulty IS NOT NULL AND NOT isnan(difficulty) GROUP BY 1"
     w = "OVER (PARTITION BY record_id ORDER BY scored_at NULLS FIRST, loaded_at NULLS FIRST, " + ", ".join(f"{k} NULLS FIRST" for k in C.SCORE_KEYS) + ")"
     deltas = ", ".join(f"{k} - lag({k}) {w} AS d_{k}" for k in C.SCORE_KEYS)
     moved = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN abs(d_{k}) > 0.005 THEN '{k}' END" for k in C.SCORE_KEYS) + "], lambda x: x IS NOT NULL), ',')"
     out["revision_deltas"] = f"WITH {_FINITE}, dd AS (SELECT record_id, row_number() {w} AS revision, {deltas} FROM (SELECT DISTINCT * FROM fsc)) SELECT record_id, revision, {_round(' '.join('d_' + k for k in C.SCORE_KEYS))}, {moved} AS moved FROM dd WHERE revision > 1"
     out["severity_bands"] = f"WITH {_FINITE} SELECT {_BAND.format('difficulty')} AS band, {_HIGHLIGHT.format('difficulty')} AS highlight, count(*) AS n FROM fsc WHERE difficulty IS NOT NULL GROUP BY ALL"
-    out["label_stats"] = f"WITH {_LONG} SELECT kind, key, round(avg(label), 6) + 0.0 AS mean, round(stddev_pop(label), 6) + 0.0 AS std, round(avg((label > 0)::INT), 6) + 0.0 AS active FROM lg GROUP BY ALL"
+    out["label_stats"] = f"WITH {_LONG} SELECT kind, key, round(avg(label) + 2e-9, 6) + 0.0 AS mean, round(stddev_pop(label) + 2e-9, 6) + 0.0 AS std, round(avg((label > 0)::INT) + 2e-9, 6) + 0.0 AS active FROM lg GROUP BY ALL"
     out["export_records"] = f"""WITH {_ISSUES}, ex AS (SELECT d.doc_id, coalesce(max(c.n), 0) AS n, coalesce(sum(severity) FILTER (type = 'sentence_complexity'), 0) AS complexity, coalesce(sum(severity) FILTER (type = 'weak_cohesion'), 0) AS cohesion FROM documents d LEFT JOIN nsent c USING (doc_id) LEFT JOIN iss USING (doc_id) GROUP BY 1)
- SELECT doc_id, n AS sentences, round(complexity, 6)::DOUBLE AS complexity, greatest(n - 1, 0) AS pairs, round(cohesion, 6)::DOUBLE AS cohesion FROM ex"""
+ SELECT doc_id, n AS sentences, round(complexity + 2e-9, 6)::DOUBLE AS complexity, greatest(n - 1, 0) AS pairs, round(cohesion + 2e-9, 6)::DOUBLE AS cohesion FROM ex"""
     total = lambda name, size: f"coalesce(list_sum(list_transform(list_slice(coalesce({name}, []), 1, {size}), lambda x: least(1, greatest(0, coalesce(x, 0))))), 0)"
-    out["trained_labels"] = f"WITH {_RECORD_SENTENCES} SELECT record_id, len(l) AS sentences, round({total('sentence_complexities', 'len(l)')}, 6)::DOUBLE AS complexity, greatest(len(l) - 1, 0) AS pairs, round({total('cohesion_pairs', 'greatest(len(l) - 1, 0)')}, 6)::DOUBLE AS cohesion, round({total('map_values(issues)', '1000')}, 6)::DOUBLE AS issue_sum FROM rs0"
+    out["trained_labels"] = f"WITH {_RECORD_SENTENCES} SELECT record_id, len(l) AS sentences, round({total('sentence_complexities', 'len(l)')} + 2e-9, 6)::DOUBLE AS complexity, greatest(len(l) - 1, 0) AS pairs, round({total('cohesion_pairs', 'greatest(len(l) - 1, 0)')} + 2e-9, 6)::DOUBLE AS cohesion, round({total('map_values(issues)', '1000')} + 2e-9, 6)::DOUBLE AS issue_sum FROM rs0"
     hit, miss, gone = "predicted >= 0.5 AND label >= 0.5", "predicted >= 0.5 AND label < 0.5", "predicted < 0.5 AND label >= 0.5"
-    out["f1_per_type"] = f"WITH {_LONG}, c AS (SELECT kind, key, count(*) FILTER ({hit}) AS tp, count(*) FILTER ({miss}) AS fp, count(*) FILTER ({gone}) AS fn FROM lg WHERE kind <> 'scores' GROUP BY ALL) SELECT kind, key, tp, fp, fn, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6)::DOUBLE AS f1 FROM c"
-    out["rmse_scores"] = f"WITH {_LONG} SELECT kind, key, round(sqrt(avg((predicted - label) ** 2)), 6) AS rmse FROM lg WHERE kind = 'scores' GROUP BY ALL"
+    out["f1_per_type"] = f"WITH {_LONG}, c AS (SELECT kind, key, count(*) FILTER ({hit}) AS tp, count(*) FILTER ({miss}) AS fp, count(*) FILTER ({gone}) AS fn FROM lg WHERE kind <> 'scores' GROUP BY ALL) SELECT kind, key, tp, fp, fn, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) + 2e-9, 6)::DOUBLE AS f1 FROM c"
+    out["rmse_scores"] = f"WITH {_LONG} SELECT kind, key, round(sqrt(avg((predicted - label) ** 2)) + 2e-9, 6) AS rmse FROM lg WHERE kind = 'scores' GROUP BY ALL"
     out["spearman"] = f"""WITH {_LONG}, r AS (SELECT kind, key, row_number() OVER (PARTITION BY kind, key ORDER BY predicted, record_id) AS a, row_number() OVER (PARTITION BY kind, key ORDER BY label, record_id) AS b FROM lg WHERE kind <> 'scores')
- SELECT kind, key, round(CASE WHEN count(*) >= 2 THEN 1 - 6 * sum((a - b) ** 2)::DOUBLE / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)) ELSE 0 END, 6)::DOUBLE AS rho FROM r GROUP BY ALL"""
+ SELECT kind, key, round(CASE WHEN count(*) >= 2 THEN 1 - 6 * sum((a - b) ** 2)::DOUBLE / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)) ELSE 0 END + 2e-9, 6)::DOUBLE AS rho FROM r GROUP BY ALL"""
     out["multitask_loss"] = f"""WITH {_LONG}, m AS (SELECT avg((predicted - label) ** 2) FILTER (kind = 'scores') AS scores, avg({_ENTROPY}) FILTER (kind = 'issues') AS issues, avg({_ENTROPY}) FILTER (kind = 'diagnoses') AS diagnoses FROM lg)
- SELECT {_round('scores issues diagnoses')}, round(scores + 1.5 * issues + 2.0 * diagnoses, 6) + 0.0 AS total FROM m"""
+ SELECT {_round('scores issues diagnoses')}, round(scores + 1.5 * issues + 2.0 * diagnoses + 2e-9, 6) + 0.0 AS total FROM m"""
     out["disagreements"] = f"WITH {_LONG} SELECT kind, key, count(*) FILTER (abs(predicted - label) > 0.3) AS differing, count(*) AS n FROM lg GROUP BY ALL"
     out["merge_last_wins"] = """WITH b AS (SELECT coalesce(text, '') AS text, record_id, (split <> 'train')::INT AS newer FROM training_records WHERE split IS NOT NULL)
  SELECT md5(text) AS digest, arg_max(record_id, newer * 1000000000000 + record_id) AS record_id, min(newer) = 1 AS added FROM b GROUP BY text"""
     sure = "(" + " + ".join(f"coalesce(diagnoses['{k}'], 0)" for k in C.DIAGNOSIS_KEYS) + f") / {len(C.DIAGNOSIS_KEYS)}"
-    out["hybrid_routing"] = f"SELECT record_id, round({sure}, 6)::DOUBLE AS confidence, CASE WHEN {sure} > 0.2 THEN 'model' ELSE 'pipeline' END AS origin, round(coalesce(diagnoses['low_cohesion'], 0) * CASE WHEN {sure} > 0.2 THEN 1 ELSE 0.5 END, 6)::DOUBLE AS low_cohesion FROM training_records"
+    out["hybrid_routing"] = f"SELECT record_id, round({sure} + 2e-9, 6)::DOUBLE AS confidence, CASE WHEN {sure} > 0.2 THEN 'model' ELSE 'pipeline' END AS origin, round(coalesce(diagnoses['low_cohesion'], 0) * CASE WHEN {sure} > 0.2 THEN 1 ELSE 0.5 END + 2e-9, 6)::DOUBLE AS low_cohesion FROM training_records"
     out["train_val_split"] = "SELECT record_id, CASE WHEN row_number() OVER (ORDER BY md5(record_id::VARCHAR || '|42'), record_id) <= greatest(1, floor(count(*) OVER () * 0.1)) THEN 'val' ELSE 'train' END AS part FROM training_records"
     pairs = "(SELECT 'sentence_cosine_similarity' AS feature, list_dot_product(embedding::DOUBLE[], prev::DOUBLE[]) AS value FROM (SELECT embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings) WHERE prev IS NOT NULL)"
     out["embedding_cohesion"] = f"WITH {_stats(pairs)} SELECT feature, {_round(_STAT_COLUMNS, 5)}, valid_count, unstable, degenerate FROM st"
     complexity = "CASE WHEN coalesce(sentence_complexities[idx + 1], 0) > 0.3 THEN sentence_complexities[idx + 1] ELSE 0.0 END"
-    out["sentence_annotations"] = f"WITH {_OFFSETS} SELECT record_id, idx AS index, md5(sent) AS digest, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, round({complexity}, 6) + 0.0 AS complexity, {_HIGHLIGHT.format('(' + complexity + ')')} AS highlight FROM rs"
+    out["sentence_annotations"] = f"WITH {_OFFSETS} SELECT record_id, idx AS index, md5(sent) AS digest, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, round({complexity} + 2e-9, 6) + 0.0 AS complexity, {_HIGHLIGHT.format('(' + complexity + ')')} AS highlight FROM rs"
     out["cohesion_gaps"] = f"""WITH {_OFFSETS}, g AS (SELECT record_id, idx, cohesion_pairs[idx + 1] AS severity, char_end AS char_start, lead(char_start) OVER (PARTITION BY record_id ORDER BY idx) AS char_end FROM rs)
- SELECT record_id, idx AS index, round(severity, 6) + 0.0 AS severity, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end FROM g WHERE severity >= 0.45 AND char_end IS NOT NULL"""
+ SELECT record_id, idx AS index, round(severity + 2e-9, 6) + 0.0 AS severity, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end FROM g WHERE severity >= 0.45 AND char_end IS NOT NULL"""
     out["resumable_antijoin"] = "SELECT record_id, source FROM training_records WHERE record_id NOT IN (SELECT record_id FROM analysis_inputs WHERE record_id IS NOT NULL)"
     cut = "left(text, 120)"
     last = f"length({cut}) - length(regexp_extract({cut}, '[^.!?]*$'))"
