@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmetry.llm.langs import COMMON_WORDS, language
-from quillmetry.llm.quality import reason_of
+from quillmetry.llm.quality import not_prose
 from quillmetry.llm.segment import Model, Splitter, learn
 from quillmetry.session import staged
 
@@ -32,7 +32,6 @@ MAX_UNIT = 1000
 MAX_GRADED = 20_000
 TREES, DEPTH, RATE, LEAF, BINS, FOLDS = 60, 3, 0.15, 8, 32, 5
 
-_GARBLED = re.compile("[\u0080-¿ÃÐÑ×Œ-Ÿˆ˜‚„†-‰‹›€™�]")
 _WORD = re.compile(r"[^\W\d_]+(?:[\"'’״׳-][^\W\d_]+)*")
 _DIGIT = re.compile(r"\d")
 _COMMON = {lang: frozenset(COMMON_WORDS[lang].split()) for lang in LANGUAGES}
@@ -98,9 +97,13 @@ def text_features(df: DataFrame, item: str, text: str, keep: list[str], model: M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                if not t or (lang := language(t)) not in LANGUAGES or reason_of(t, len(_GARBLED.findall(t)) / len(t))[0]:
+            texts = batch.column(1).to_pylist()
+            langs = [language(t) for t in texts]
+            mine = [i for i, lang in enumerate(langs) if lang in LANGUAGES]
+            for i, kind in zip(mine, not_prose(batch.column(1).take(pa.array(mine, pa.int32())))):
+                if kind:
                     continue
+                t, lang = texts[i], langs[i]
                 spans = splitter.units(t)
                 if not spans or max(b - a for a, b in spans) > MAX_UNIT:
                     continue

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quillmetry.session import staged
 
-#: Buckets that each size class is split into for ranking, against classes that hold a large part of all rows.
-RANK_BUCKETS = 64
+#: Rows of a bucket, on the average; each size class is split into as many buckets as its count needs, since one class may hold a large part of all rows.
+BUCKET_ROWS = 50_000
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -80,12 +80,13 @@ def fill_containers(df: DataFrame, item: str, size: str, capacity: int) -> DataF
     last = F.greatest(F.ceil(n / capacity).cast("long") - 1, F.lit(0))
     pieces = df.select(F.col(item).alias("item"), n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece_no"))
     pieces = pieces.select("item", "piece_no", (F.col("piece_no") * capacity).alias("first_unit"), F.least(F.lit(capacity), F.col("n") - F.col("piece_no") * capacity).cast("int").alias("units"))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("item", "piece_no"), F.lit(RANK_BUCKETS)))
     pieces = staged(pieces, "pieces")
+    classes = {r.units: r["count"] for r in pieces.groupBy("units").count().collect()}  # at most ``capacity`` rows
+    split = df.sparkSession.createDataFrame([(u, -(-n // BUCKET_ROWS)) for u, n in classes.items()], "units int, buckets long")
+    pieces = pieces.join(F.broadcast(split), "units").withColumn("bucket", F.pmod(F.xxhash64("item", "piece_no"), F.col("buckets"))).drop("buckets")
     per = pieces.groupBy("units", "bucket").agg(F.count(F.lit(1)).alias("count"))
     before = Window.partitionBy("units").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    classes = {r.units: r["count"] for r in per.groupBy("units").agg(F.sum("count").alias("count")).collect()}  # at most ``capacity`` rows
     rows, _ = best_fit(classes, capacity)
     slots = df.sparkSession.createDataFrame(rows, "units int, low long, high long, start long, each long")
     within = Window.partitionBy("units", "bucket").orderBy("item", "piece_no")

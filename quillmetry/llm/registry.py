@@ -45,6 +45,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("lo").alias("result_lo"), F.col("hi").alias("result_hi"))
 
 
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of every text of the three tables."""
+    lines = _read(spark, sf_dir, "normalization_results").select(F.lit("normalization_results").alias("table_name"), F.col("result_id").cast("string").alias("item_key"), F.col("normalized_text").alias("text"))
+    rows = looks.with_one_form(_texts(spark, sf_dir).unionByName(lines), "text", "form")
+    return rows.select("table_name", "item_key", "form", (~F.col("form").eqNullSafe(F.col("text"))).alias("changed"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "level_labels").select(F.col("record_id").alias("item"), F.col("reading_level").alias("level"))
     records = _texts_of(spark, sf_dir, "training_records", "record_id", "text", "source")
@@ -125,6 +132,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.document_subjects(_texts_of(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", _read(spark, sf_dir, "subject_areas"), labels)
 
 
+def p10_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top terms by which topics were mapped to subjects."""
+    labels = _read(spark, sf_dir, "subject_labels").select(F.col("doc_id").alias("item"), "subject")
+    return topics.topic_terms(_texts_of(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", _read(spark, sf_dir, "subject_areas"), labels)
+
+
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per source, language of the text and subject."""
     docs = _read(spark, sf_dir, "documents")
@@ -134,7 +147,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p4_validation, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found, p8_ids, p9_containers, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_forms, p4_found, p4_validation, p5_percentiles, p6_pieces, p6_found, p7_quality, p7_found, p8_ids, p9_containers, p10_found, p10_topics, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

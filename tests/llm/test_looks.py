@@ -45,3 +45,17 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "ａ", "kept"), (2, None, None)], "id int, text string, __x string")
     assert [tuple(r) for r in with_one_form(df).orderBy("id").collect()] == [(1, "ａ", "kept", "a"), (2, None, None, None)]
     assert with_one_form(df, out="text").columns == df.columns
+
+
+def test_every_code_point_is_mapped_to_a_fixed_point():
+    wrong = []
+    for cp in range(0x110000):
+        if not 0xD800 <= cp <= 0xDFFF and unicodedata.category(chr(cp)) not in ("Cn", "Co"):
+            form = one_form(chr(cp))
+            if form != chr(cp) and (one_form(form) != form or not unicodedata.is_normalized("NFC", form)):
+                wrong.append(hex(cp))
+    assert wrong == []
+
+
+def test_look_alikes_of_other_scripts():
+    assert one_form("\u0585\u0578 \u13aa \ua4d0 \u0261\u0251 \u04cf \u0475 \u03f2 a\u2010b a\u2011b") == "on A B ga l v c a-b a-b"

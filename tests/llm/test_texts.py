@@ -169,11 +169,24 @@ def test_subjects(spark):
     assert topics.document_subjects(df.limit(0), "doc_id", "text", areas, labels).count() == 0
 
 
-def test_items_and_rows_with_end_marks():
-    reason = lambda text: quality.reason_of(text, 0.0)[0]
-    assert reason("- Buy milk and bread.\n" * 30) == "items"
-    assert reason("\n".join(f"{i}. Ask the neighbours about it." for i in range(1, 9))) == "items"
-    assert reason("\n".join(f"street {i} | {i * 7} | It was sold." for i in range(9))) == "rows"
-    assert reason(PROSE + "\n- Buy milk.\n- Buy some bread.\n- Go home now.") is None
-    assert reason("1. " + PROSE) is None
-    assert reason("\n".join(PROSE.split(". ")) + ".") is None
+def test_items_and_rows_with_end_marks(spark):
+    got = kinds(
+        spark,
+        [
+            "- Buy milk and bread.\n" * 30,
+            "\n".join(f"{i}. Ask the neighbours about it." for i in range(1, 9)),
+            "\n".join(f"street {i} | {i * 7} | It was sold." for i in range(9)),
+            PROSE + "\n- Buy milk.\n- Buy some bread.\n- Go home now.",
+            "1. " + PROSE,
+            "\n".join(PROSE.split(". ")) + ".",
+            "\u00a0\u2003 \u00a0",
+        ],
+    )
+    assert [got[i] for i in range(7)] == ["list", "list", "table", None, None, None, None]
+
+
+def test_failures(spark):
+    df = spark.createDataFrame([(0, PROSE), (1, "- a\n- b\n- c\n- d"), (2, None), (3, "xyzxyzxyzxyz " * 60)], "id int, text string")
+    got = {r.id: set(r.quality.failures) for r in quality.with_quality(df).collect()}
+    assert got[0] == {"word count"} and {"bullets", "end marks", "common words", "short lines"} <= got[1]
+    assert got[2] == set() and got[3] == {"mean word length", "end marks", "common words"}
