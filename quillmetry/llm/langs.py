@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -57,10 +58,7 @@ def language(text: str | None) -> str:
         return "und"
     if best != "latin":
         return best
-    hits = dict.fromkeys(_LATIN, 0)
-    for word in _LATIN_WORD.findall(text):
-        word = word.lower()
-        for lang, words in _LATIN.items():
-            hits[lang] += word in words
+    counted = Counter(_LATIN_WORD.findall(text.lower()))
+    hits = {lang: sum(map(counted.__getitem__, words)) for lang, words in _LATIN.items()}
     top = max(hits, key=lambda k: hits[k])
     return top if hits[top] else "en"

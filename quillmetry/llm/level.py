@@ -104,7 +104,7 @@ def text_features(df: DataFrame, item: str, text: str, keep: list[str], model: M
                 if kind:
                     continue
                 t, lang = texts[i], langs[i]
-                spans = splitter.units(t)
+                spans = splitter.units(t, lang)
                 if not spans or max(b - a for a, b in spans) > MAX_UNIT:
                     continue
                 units = [t[a:b] for a, b in spans]

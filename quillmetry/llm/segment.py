@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,10 +84,10 @@ def _hollow(match: re.Match) -> str:
 
 def _clean(text: str) -> tuple[str, list[int] | None]:
     """The text without invisible characters, and where each kept one stands in it."""
-    if _INVISIBLE.search(text) is None:
+    gone = [m.start() for m in _INVISIBLE.finditer(text)]
+    if not gone:
         return text, None
-    kept = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
-    return "".join(text[i] for i in kept), kept
+    return _INVISIBLE.sub("", text), np.delete(np.arange(len(text)), gone).tolist()
 
 
 # ---------------------------------------------------------------- learning
@@ -229,14 +230,16 @@ class Splitter:
     def __init__(self, model: Model) -> None:
         self.model = model
 
-    def units(self, text: str | None) -> list[tuple[int, int]]:
+    def units(self, text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
         """Start and end of each unit in code points, in text order, blanks at the ends removed.
 
+        ``lang`` is the text's language where it is known already.
+
         Null, empty and blank texts have none. Lines never share a unit.
         """
         if not text:
             return []
-        lang = language(text)
+        lang = lang or language(text)
         clean, kept = _clean(text)
         thai_prose = lang == "th" and _thai_prose(clean)
         out, at = [], 0
