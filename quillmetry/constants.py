@@ -108,3 +108,24 @@ INTERVENTIONS = {
     "low_cohesion": ("cohesion_improvement", "connective_ratio sentence_overlap"),
     "punctuation_deficiency": ("cohesion_improvement", "punctuation_ratio connective_ratio sentence_overlap"),
 }
+# Actions and exercises of the intervention of each diagnosis.
+ACTIONS = {
+    "low_lexical_diversity": ("Introduce synonym substitution exercises", "Encourage use of varied word forms", "Practice paraphrasing sentences with new vocabulary"),
+    "low_morphological_richness": ("Introduce varied verb patterns (binyanim)", "Practice using different morphological forms", "Encourage construct-state (smichut) usage"),
+    "pronoun_overuse": ("Replace ambiguous pronouns with explicit noun phrases", "Reduce pronoun density in consecutive sentences", "Clarify referential chains across paragraphs"),
+    "sentence_over_complexity": ("Break long sentences into shorter units", "Reduce subordinate clause nesting", "Simplify deeply embedded syntactic structures"),
+    "structural_inconsistency": ("Standardise sentence length across the text", "Reduce variation in syntactic patterns", "Align sentence structures for consistent readability"),
+    "fragmented_writing": ("Combine short fragmented sentences into fuller ones", "Add connective phrases between fragments", "Develop sentence-expansion techniques"),
+    "low_cohesion": ("Add discourse connectives between sentences", "Increase lexical overlap across adjacent sentences", "Use transitional phrases to link ideas"),
+    "punctuation_deficiency": ("Review and correct punctuation usage", "Add missing terminal punctuation marks", "Use commas and periods to improve text flow"),
+}
+EXERCISES = {
+    "low_lexical_diversity": ("Rewrite a paragraph replacing repeated words with synonyms", "Build a personal vocabulary list from reading texts", "Complete cloze passages using diverse word choices"),
+    "low_morphological_richness": ("Conjugate verbs across multiple binyanim for the same root", "Rewrite sentences using construct-state noun phrases", "Identify and vary morphological patterns in a text"),
+    "pronoun_overuse": ("Identify all pronouns in a paragraph and replace ambiguous ones", "Rewrite passages reducing pronoun-to-noun ratio", "Match pronouns to their antecedents in sample texts"),
+    "sentence_over_complexity": ("Rewrite sentences exceeding 30 tokens into two or more", "Identify and extract embedded clauses", "Reduce tree depth by restructuring complex sentences"),
+    "structural_inconsistency": ("Rewrite paragraphs to even out sentence lengths", "Identify outlier sentences and restructure them", "Practice writing with a target sentence-length range"),
+    "fragmented_writing": ("Merge consecutive short sentences into compound sentences", "Expand sentence fragments with additional clauses", "Rewrite a paragraph to eliminate fragments"),
+    "low_cohesion": ("Insert appropriate connectives into a passage", "Rewrite paragraphs to improve sentence-to-sentence overlap", "Identify missing transitions and add them"),
+    "punctuation_deficiency": ("Punctuate an unpunctuated passage correctly", "Identify and fix punctuation errors in sample texts", "Practice using commas to separate clauses"),
+}

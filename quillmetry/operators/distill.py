@@ -71,6 +71,42 @@ def disagreements(pairs: DataFrame, item: str, threshold: float = 0.3) -> DataFr
     return pairs.withColumn("difference", F.abs(F.col("predicted") - F.col("label"))).withColumn("differs", F.col("difference") > threshold)
 
 
+def disagreement_cases(compared: DataFrame, item: str) -> DataFrame:
+    """``item`` and ``keys``, how many of its keys differ, of the items with any."""
+    return compared.groupBy(item).agg(F.count_if("differs").alias("keys")).where(F.col("keys") > 0)
+
+
+def evaluation(pairs: DataFrame, item: str) -> DataFrame:
+    """``metric`` (rmse, f1, spearman), ``kind``, ``key``, ``value`` of long pairs, in one table."""
+    others = pairs.where("kind <> 'scores'")
+    parts = {"rmse": rmse(pairs.where("kind = 'scores'")).withColumnRenamed("rmse", "value"), "f1": f1_per_type(others).withColumnRenamed("f1", "value"), "spearman": spearman(others, item).withColumnRenamed("rho", "value")}
+    out = None
+    for name, rows in parts.items():
+        rows = rows.select(F.lit(name).alias("metric"), "kind", "key", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def training_records(found: DataFrame, diagnoses: DataFrame, item: str) -> DataFrame:
+    """The record of each item: maps of scores (null as 0), issues and diagnoses (largest severity, 0 where there is none), sentence labels.
+
+    ``found`` has the array ``issues``, the score columns and ``sentences``. Only the diagnoses, at most
+    eight an item, are joined; the rest is told inside the row.
+    """
+    found = found.withColumnRenamed("issues", "__found")
+    mine = lambda kind: F.filter("__found", lambda i: i["type"] == kind)
+    largest = lambda kind: F.coalesce(F.array_max(F.transform(mine(kind), lambda i: i["severity"])), F.lit(0.0))
+    scores = F.create_map(*(c for k in C.SCORE_KEYS for c in (F.lit(k), F.coalesce(F.col(k), F.lit(0.0)))))
+    issues = F.create_map(*(c for k in C.ISSUE_KEYS for c in (F.lit(k), largest(k))))
+    by_place = lambda kind: F.map_from_entries(F.transform(mine(kind), lambda i: F.struct(i["span"][0], i["severity"])))
+    filled = lambda size, kind: F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.coalesce(F.try_element_at(by_place(kind), i), F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
+    n = F.coalesce(F.size("sentences"), F.lit(0))
+    rows = found.select(item, scores.alias("scores"), issues.alias("issues"), filled(n, "sentence_complexity").alias("sentence_complexities"), filled(n - 1, "weak_cohesion").alias("cohesion_pairs"))
+    per = diagnoses.groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("type", "severity"))).alias("__d"))
+    kept = F.create_map(*(c for k in C.DIAGNOSIS_KEYS for c in (F.lit(k), F.coalesce(F.try_element_at("__d", F.lit(k)), F.lit(0.0)))))
+    return rows.join(per, item, "left").withColumn("diagnoses", kept).drop("__d")
+
+
 def merged_last_wins(base: DataFrame, newer: DataFrame, text: str, line: str) -> DataFrame:
     """One row per text, the last one in reading order (base first); ``added`` marks texts that base lacks.
 

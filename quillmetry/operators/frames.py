@@ -91,3 +91,13 @@ def tree_depth(toks: Column, from_root: bool = False) -> Column:
     reached = lambda s: F.array_max(F.zip_with(s["up"], s["far"], lambda u, f: F.when(u == 0, f).otherwise(0)))
     depth = F.coalesce(F.aggregate(rounds, start, double, reached), F.lit(0))
     return F.greatest(depth - 1, F.lit(0)) if from_root else depth
+
+
+def synthetic_metrics(df: DataFrame, text: str, depth: str) -> DataFrame:
+    """``df`` with ``m`` for texts without a parse: per sentence its words as tokens and as lemmas, and ``depth`` (0 where null) for all.
+
+    Null texts have no sentences. ``depth`` counts from the root, ``m`` from the virtual root, so it is one more there.
+    """
+    deep = F.coalesce(F.col(depth), F.lit(0.0)) + 1
+    each = lambda s: F.struct(F.size(T.words(s)).alias("n"), deep.alias("depth"), F.array_distinct(T.words(s)).alias("lemmas"))
+    return df.withColumn("m", F.transform(F.coalesce(T.sentences(F.col(text)), F.array().cast("array<string>")), each))

@@ -11,7 +11,16 @@ from quillmetry.operators import baseline as B
 GROUPS = ("morphology", "syntax", "lexicon", "structure", "discourse", "style")
 
 
-def _issue(kind: str, group: str, severity: Column, share: Column, stats: list[Column], span: Column) -> Column:
+EVIDENCE = "array<struct<name:string,value:double>>"
+NO_ISSUES = f"array<struct<emission:int,span:array<int>,type:string,issue_group:string,severity:double,confidence:double,evidence:{EVIDENCE}>>"
+
+
+def _values(named: dict[str, Column]) -> Column:
+    """Named values that are there. (A map can't be sorted with the issue that holds it; ``issue_rows`` makes one of it.)"""
+    return F.filter(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in named.items())), lambda e: e["value"].isNotNull())
+
+
+def _issue(kind: str, group: str, severity: Column, share: Column, stats: list[Column], span: Column, evidence: Column) -> Column:
     confidence = F.least(F.lit(1.0), severity * share * B.stability(stats))
     return F.struct(
         F.lit(C.EMISSION[kind]).alias("emission"),
@@ -20,6 +29,7 @@ def _issue(kind: str, group: str, severity: Column, share: Column, stats: list[C
         F.lit(group).alias("issue_group"),
         severity.alias("severity"),
         confidence.alias("confidence"),
+        evidence.alias("evidence"),
     )
 
 
@@ -40,17 +50,19 @@ def _of_document(kind: str, group: str, parts: list[tuple[str, float, bool]], n:
         here.append(value.isNotNull().cast("int"))
         known.append(st)
     present = sum(here, F.lit(0))
-    issue = _issue(kind, group, sum(terms, F.lit(0.0)), present / len(parts), known, F.array(F.lit(0), n))
+    issue = _issue(kind, group, sum(terms, F.lit(0.0)), present / len(parts), known, F.array(F.lit(0), n), _values({f: F.col(f) for f, _, _ in parts}))
     return F.when(present > 0, issue)
 
 
-def detect(features: DataFrame, stats: DataFrame, item: str, metrics: str = "m") -> DataFrame:
-    """``item`` and ``issues``, an array in order of emission.
+def detect(features: DataFrame, stats: DataFrame, item: str, metrics: str = "m", keep: tuple[str, ...] = (), similar: str | None = None) -> DataFrame:
+    """``item``, ``keep`` and ``issues``, an array in order of emission, each issue with the values it is told from as ``evidence``.
 
     ``features`` holds the 32 features and ``metrics``, an array of sentences with ``n`` (tokens),
     ``depth`` (from the virtual root) and ``lemmas``. Spans are sentence indexes: the whole text
     ``[0, N]``, one sentence ``[i]``, or a pair ``[i, i + 1]``. A document without sentences keeps
-    its document-level issues.
+    its document-level issues. ``similar`` may name an array with the similarity of the vectors of each
+    sentence and the next one: it takes the place of the shared lemmas for the pairs that have one,
+    if the baseline holds ``sentence_cosine_similarity`` and the first pair has one.
     """
     rows = features.withColumn("one", F.lit(1)).join(B.stats_map(stats), "one")
     # Looked up once a row, not in every sentence.
@@ -61,22 +73,29 @@ def detect(features: DataFrame, stats: DataFrame, item: str, metrics: str = "m")
     length, depth, overlap = _stat("avg_sentence_length"), _stat("avg_tree_depth"), _stat("sentence_overlap")
     tokens = lambda x: B.soft_score(x["n"].cast("double"), length["mean"], length["std"])
     deep = lambda x: B.soft_score(F.greatest(x["depth"] - 1, F.lit(0)).cast("double"), depth["mean"], depth["std"])
-    each = F.transform(m, lambda x, i: _issue("sentence_complexity", "syntax", 0.6 * tokens(x) + 0.4 * deep(x), F.lit(1.0), [length, depth], F.array(i)))
+    each = F.transform(m, lambda x, i: _issue("sentence_complexity", "syntax", 0.6 * tokens(x) + 0.4 * deep(x), F.lit(1.0), [length, depth], F.array(i), _values({"token_count": x["n"], "tree_depth": F.greatest(x["depth"] - 1, F.lit(0))})))
+    cosine_stat = F.try_element_at(F.col("stats"), F.lit("sentence_cosine_similarity"))
 
     def pair(i: Column) -> Column:
         a, b = F.get(m, i - 1)["lemmas"], F.get(m, i)["lemmas"]
         alike = F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
-        return _issue("weak_cohesion", "discourse", 1 - B.soft_score(alike, overlap["mean"], overlap["std"]), F.lit(1.0), [overlap], F.array(i - 1, i))
-
-    none = F.array().cast("array<struct<emission:int,span:array<int>,type:string,issue_group:string,severity:double,confidence:double>>")
+        if similar is None:
+            return _issue("weak_cohesion", "discourse", 1 - B.soft_score(alike, overlap["mean"], overlap["std"]), F.lit(1.0), [overlap], F.array(i - 1, i), _values({"jaccard": alike}))
+        by_vector = cosine_stat.isNotNull() & F.get(similar, F.lit(0)).isNotNull()
+        cosine = F.when(by_vector, F.get(similar, i - 1))
+        stat = F.when(by_vector, cosine_stat).otherwise(overlap)
+        value = F.coalesce(cosine, alike)
+        return _issue("weak_cohesion", "discourse", 1 - B.soft_score(value, stat["mean"], stat["std"]), F.lit(1.0), [stat], F.array(i - 1, i), _values({"cosine_similarity": cosine, "jaccard": F.when(cosine.isNull(), alike)}))
+
+    none = F.array().cast(NO_ISSUES)
     pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), pair)).otherwise(none)
     issues = F.array_sort(F.filter(F.concat(whole, each, pairs), lambda x: x.isNotNull()))
-    return rows.select(item, issues.alias("issues"))
+    return rows.select(item, *keep, issues.alias("issues"))
 
 
 def issue_rows(issues: DataFrame, item: str) -> DataFrame:
-    """The issue table: a row per issue with its place ``emit_order`` in the document."""
-    return issues.select(item, F.posexplode("issues").alias("emit_order", "x")).select(item, "emit_order", "x.type", "x.issue_group", "x.severity", "x.confidence", "x.span")
+    """The issue table: a row per issue with its place ``emit_order`` in the document and the map ``evidence``."""
+    return issues.select(item, F.posexplode("issues").alias("emit_order", "x")).select(item, "emit_order", "x.type", "x.issue_group", "x.severity", "x.confidence", "x.span", F.map_from_entries("x.evidence").alias("evidence"))
 
 
 def ranked(issues: DataFrame, item: str, k: int = 5) -> DataFrame:
@@ -91,11 +110,18 @@ def ranked(issues: DataFrame, item: str, k: int = 5) -> DataFrame:
     rank = lambda i: F.round(0.7 * i["severity"] + 0.3 * F.try_element_at(F.col("means"), i["issue_group"]), 9)
     listed = F.transform(x, lambda i, at: F.struct((-rank(i)).alias("order"), at.alias("emit_order"), i.alias("x"), F.try_element_at(F.col("means"), i["issue_group"]).alias("group_score")))
     top = scored.select(item, F.posexplode(F.slice(F.array_sort(listed), 1, k)).alias("place", "t"))
+    found = F.map_concat(F.map_from_entries("t.x.evidence"), F.create_map(F.lit("rank_score"), -F.col("t.order"), F.lit("group_score"), F.col("t.group_score")))
     return top.select(
-        item, (F.col("place") + 1).alias("rank"), "t.x.type", "t.x.issue_group", "t.x.severity", "t.x.confidence", "t.x.span", (-F.col("t.order")).alias("rank_score"), F.col("t.group_score").alias("group_score")
+        item, (F.col("place") + 1).alias("rank"), "t.x.type", "t.x.issue_group", "t.x.severity", "t.x.confidence", "t.x.span", (-F.col("t.order")).alias("rank_score"), F.col("t.group_score").alias("group_score"), found.alias("evidence")
     )
 
 
+def issues_json(issues: DataFrame, item: str) -> DataFrame:
+    """``item`` and ``json``: one object with the array ``issues``, each with type, group, severity, confidence, span and evidence."""
+    each = F.transform("issues", lambda i: F.struct(i["type"].alias("type"), i["issue_group"].alias("group"), i["severity"].alias("severity"), i["confidence"].alias("confidence"), i["span"].alias("span"), F.map_from_entries(i["evidence"]).alias("evidence")))
+    return issues.select(item, F.to_json(F.struct(each.alias("issues"))).alias("json"))
+
+
 def group_scores(rows: DataFrame, item: str) -> DataFrame:
     return rows.groupBy(item, "issue_group").agg(F.avg("severity").alias("group_score"), F.count(F.lit(1)).alias("issues"))
 

@@ -12,9 +12,12 @@ def numbered(df: DataFrame, *order: str, out: str = "row_no") -> DataFrame:
     """``df`` with a number from 0 in the total order of ``order``.
 
     Rows are range-partitioned and sorted, each partition numbers its own, and the counts of the
-    partitions before (a row per partition) are added. Ties are numbered in no stated order.
+    partitions before (a row per partition) are added. Ties are numbered in no stated order; a
+    hash of the row divides them, so that one value in a third of all rows fills no single task.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    kinds = dict(df.dtypes)
+    spread = F.xxhash64(*(c for c in df.columns if "map<" not in kinds[c])) if len(set(df.columns) - set(order)) else F.rand(17)
+    parts = df.withColumn("__tie", spread).repartitionByRange(*order, "__tie").sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).drop("__tie")
     parts = staged(parts, "numbered")
     counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

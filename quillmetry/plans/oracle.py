@@ -58,14 +58,16 @@ ft AS (SELECT doc_id, avg((pos = 'VERB')::INT) AS verb_ratio, avg(({_prefix('sur
   avg((pos = 'PRON')::INT) / (avg((pos = 'NOUN')::INT) + {C.EPSILON}) AS pronoun_to_noun_ratio FROM tb GROUP BY 1),
 ps AS (SELECT doc_id, sent_idx, pos, count(*) / any_value(n) AS x FROM tb JOIN sn USING (doc_id, sent_idx) GROUP BY ALL),
 pv AS (SELECT doc_id, avg(v) AS pos_distribution_variance FROM (SELECT doc_id, pos, CASE WHEN any_value(fs.s) >= 2 THEN (sum(x * x) - sum(x) * sum(x) / any_value(fs.s)) / (any_value(fs.s) - 1) ELSE 0 END AS v FROM ps JOIN fs USING (doc_id) GROUP BY ALL) GROUP BY 1),
+fd AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '{WORD}')) AS token FROM training_records) GROUP BY 1),
+rw AS (SELECT doc_id, avg((coalesce(cnt, 0) < {C.RARE_COUNT})::INT) AS r FROM tb LEFT JOIN fd ON fd.token = tb.lemma GROUP BY 1),
 f AS (SELECT d.doc_id, coalesce(verb_ratio, 0)::DOUBLE AS verb_ratio, coalesce(prefix_density, 0)::DOUBLE AS prefix_density, coalesce(suffix_pronoun_ratio, 0)::DOUBLE AS suffix_pronoun_ratio, coalesce(morphological_ambiguity, 0)::DOUBLE AS morphological_ambiguity,
   coalesce(agreement_error_rate, 0)::DOUBLE AS agreement_error_rate, coalesce(eb.e, 0)::DOUBLE AS binyan_entropy, coalesce(construct / n, 0)::DOUBLE AS construct_ratio, coalesce(n / s, 0)::DOUBLE AS avg_sentence_length, coalesce(avg_tree_depth, 0)::DOUBLE AS avg_tree_depth,
   coalesce(max_tree_depth, 0)::DOUBLE AS max_tree_depth, coalesce(avg_dependency_distance, 0)::DOUBLE AS avg_dependency_distance, coalesce(clauses / s, 0)::DOUBLE AS clauses_per_sentence, coalesce(sub / nullif(sub + roots, 0), 0)::DOUBLE AS subordinate_clause_ratio,
   coalesce(right_branching_ratio, 0)::DOUBLE AS right_branching_ratio, coalesce(dependency_distance_variance, 0)::DOUBLE AS dependency_distance_variance, coalesce(ed.e, 0)::DOUBLE AS clause_type_entropy, coalesce(kinds / n, 0)::DOUBLE AS type_token_ratio, coalesce(hapax / n, 0)::DOUBLE AS hapax_ratio,
-  coalesce(avg_token_length, 0)::DOUBLE AS avg_token_length, coalesce(lemmas / n, 0)::DOUBLE AS lemma_diversity, NULL::DOUBLE AS rare_word_ratio, coalesce(content_word_ratio, 0)::DOUBLE AS content_word_ratio, coalesce(sentence_length_variance, 0)::DOUBLE AS sentence_length_variance,
+  coalesce(avg_token_length, 0)::DOUBLE AS avg_token_length, coalesce(lemmas / n, 0)::DOUBLE AS lemma_diversity, coalesce(rw.r, 0)::DOUBLE AS rare_word_ratio, coalesce(content_word_ratio, 0)::DOUBLE AS content_word_ratio, coalesce(sentence_length_variance, 0)::DOUBLE AS sentence_length_variance,
   coalesce(long_sentence_ratio, 0)::DOUBLE AS long_sentence_ratio, coalesce(punctuation_ratio, 0)::DOUBLE AS punctuation_ratio, coalesce(short_sentence_ratio, 0)::DOUBLE AS short_sentence_ratio, coalesce(missing_terminal_punctuation_ratio, 0)::DOUBLE AS missing_terminal_punctuation_ratio,
   coalesce(connectives / s, 0)::DOUBLE AS connective_ratio, coalesce(sentence_overlap, 0)::DOUBLE AS sentence_overlap, coalesce(pronoun_to_noun_ratio, 0)::DOUBLE AS pronoun_to_noun_ratio, coalesce(sentence_length_trend, 0)::DOUBLE AS sentence_length_trend, coalesce(pos_distribution_variance, 0)::DOUBLE AS pos_distribution_variance
-  FROM documents d LEFT JOIN fs USING (doc_id) LEFT JOIN ft USING (doc_id) LEFT JOIN ag USING (doc_id) LEFT JOIN co USING (doc_id) LEFT JOIN hx USING (doc_id) LEFT JOIN pv USING (doc_id)
+  FROM documents d LEFT JOIN fs USING (doc_id) LEFT JOIN ft USING (doc_id) LEFT JOIN ag USING (doc_id) LEFT JOIN co USING (doc_id) LEFT JOIN hx USING (doc_id) LEFT JOIN pv USING (doc_id) LEFT JOIN rw USING (doc_id)
   LEFT JOIN ent eb ON eb.doc_id = d.doc_id AND eb.kind = 'b' LEFT JOIN ent ed ON ed.doc_id = d.doc_id AND ed.kind = 'd')"""
 )
 
@@ -168,6 +170,59 @@ def _diagnosis(order: int, kind: str, threshold: float, parts) -> str:
 _DIAGNOSES = _ISSUES + f", sc AS (SELECT {_SCORES} FROM f), dia AS (" + " UNION ALL ".join(_diagnosis(i, *d) for i, d in enumerate(C.DIAGNOSES)) + ")"
 _MAPPED = "(VALUES " + ", ".join(f"('{d}', '{k}', '{','.join(f.split())}')" for d, (k, f) in C.INTERVENTIONS.items()) + ") AS im(type, intervention, focus_features)"
 
+_DOCUMENT_EVIDENCE = " UNION ALL ".join(f"SELECT doc_id, {C.EMISSION[kind]} AS emission, 0 AS place, '{x}' AS name, {x} AS value FROM f WHERE {x} IS NOT NULL" for kind, _, parts in C.ISSUES for x, _, _ in parts)
+_EVIDENCE = f"""ev AS ({_DOCUMENT_EVIDENCE}
+ UNION ALL SELECT doc_id, {C.EMISSION['sentence_complexity']}, sent_idx, 'token_count', n::DOUBLE FROM sd UNION ALL SELECT doc_id, {C.EMISSION['sentence_complexity']}, sent_idx, 'tree_depth', greatest(depth - 1, 0)::DOUBLE FROM sd
+ UNION ALL SELECT doc_id, {C.EMISSION['weak_cohesion']}, sent_idx, 'jaccard', ({_ALIKE})::DOUBLE FROM sd WHERE before IS NOT NULL)"""
+_VECTOR = "[" + ", ".join(f"len(list_filter(regexp_extract_all(sent, '{TOKEN}'), lambda t: length(t) % 8 = {k}))::DOUBLE" for k in range(8)) + "]"
+_COSINES = f"""vs AS (SELECT doc_id, sent_idx, {_VECTOR} AS v FROM sk), vp AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS u FROM vs),
+cs AS (SELECT doc_id, sent_idx, list_dot_product(u, v) / nullif(sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)), 0) AS c FROM vp WHERE u IS NOT NULL),
+fc AS (SELECT doc_id, c IS NOT NULL AS use FROM cs WHERE sent_idx = 1)"""
+_STEPS = "(VALUES " + ", ".join(f"('{d}', '{';'.join(C.ACTIONS[d])}', '{';'.join(C.EXERCISES[d])}')" for d in C.INTERVENTIONS) + ") AS sp(type, actions, exercises)"
+
+
+def _support(kind: str, parts) -> tuple[str, str]:
+    """SQL of the supporting issues of a diagnosis, and of its evidence."""
+    keys = [key for _, how, key in parts if how != "score"]
+    joins = " ".join(f"LEFT JOIN ia a{i} ON a{i}.doc_id = d.doc_id AND a{i}.itype = '{k}'" for i, k in enumerate(keys))
+    names = ", ".join(f"CASE WHEN a{i}.n > 0 THEN '{k}' END" for i, k in enumerate(keys))
+    count = " + ".join(f"coalesce(a{i}.n, 0)" for i in range(len(keys)))
+    support = f"SELECT d.doc_id, d.type, array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ',') AS issues, {count} AS spans FROM dia d {joins} WHERE d.type = '{kind}'"
+    evidence = []
+    for _, how, key in parts:
+        if how == "score":
+            evidence.append(f"SELECT d.doc_id, d.type, '{key}_score' AS name, coalesce(sc.{key}, 0)::DOUBLE AS value FROM dia d JOIN sc USING (doc_id) WHERE d.type = '{kind}'")
+            evidence.append(f"SELECT d.doc_id, d.type, '{key}_missing', 1.0::DOUBLE FROM dia d JOIN sc USING (doc_id) WHERE d.type = '{kind}' AND sc.{key} IS NULL")
+        else:
+            evidence.append(f"SELECT d.doc_id, d.type, '{how}_{key}_severity' AS name, coalesce(a.{'mx' if how == 'max' else 'av'}, 0)::DOUBLE AS value FROM dia d LEFT JOIN ia a ON a.doc_id = d.doc_id AND a.itype = '{key}' WHERE d.type = '{kind}'")
+    return support, " UNION ALL ".join(evidence)
+
+
+_SUPPORT = "ia AS (SELECT doc_id, type AS itype, max(severity) AS mx, avg(severity) AS av, count(*) AS n FROM iss GROUP BY ALL), su AS (" + " UNION ALL ".join(_support(k, p)[0] for k, _, p in C.DIAGNOSES) + "), de AS (" + " UNION ALL ".join(_support(k, p)[1] for k, _, p in C.DIAGNOSES) + ")"
+
+
+def _mean_of_present(parts: list[tuple[float, str]]) -> str:
+    """Weighted mean of the parts that are not null, within 0 and 1."""
+    total = " + ".join(f"coalesce({w} * ({x}), 0)" for w, x in parts)
+    weight = " + ".join(f"CASE WHEN ({x}) IS NOT NULL THEN {w} ELSE 0 END" for w, x in parts)
+    mean = f"({total}) / nullif({weight}, 0)"
+    return f"CASE WHEN ({mean}) IS NOT NULL THEN greatest(0, least(1, {mean})) END"
+
+
+def _scaled(f: str) -> str:
+    """A feature scaled to its range; null stays null."""
+    return f"CASE WHEN {f} IS NOT NULL THEN {_normalized(f)} END"
+
+
+_STYLE = {f: "CASE WHEN sentence_length_trend IS NOT NULL THEN " + _norm("abs(sentence_length_trend)", 0.0, C.RANGES[f][1]) + " END" if f == "sentence_length_trend" else _scaled(f) for f in C.STYLE_WEIGHTS}
+_PARTIAL_SCORES = {
+    "difficulty": _mean_of_present([(w, _scaled(f)) for f, w in C.DIFFICULTY_WEIGHTS.items()]),
+    "style": " + ".join(f"coalesce({w} * {_STYLE[f]}, 0)" for f, w in C.STYLE_WEIGHTS.items()),
+    "fluency": _mean_of_present([(1.0, "punctuation_ratio"), (1.0, f"1 - {_scaled('sentence_length_variance')}"), (1.0, f"1 - {_scaled('pos_distribution_variance')}")]),
+    "cohesion": _mean_of_present([(0.4, _scaled("connective_ratio")), (0.3, _scaled("sentence_overlap")), (0.3, f"1 - {_scaled('pronoun_to_noun_ratio')}")]),
+    "complexity": _mean_of_present([(1.0, x) for x in ("binyan_entropy", _scaled("agreement_error_rate"), _scaled("pos_distribution_variance"), _scaled("clause_type_entropy"), "construct_ratio * 0.5")]),
+}
+
 _FLAT = "(SELECT doc_id, feature, value FROM flat_features)"
 _RANKED = "rk AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY feature) AS g FROM flat_features WHERE value IS NOT NULL AND NOT isnan(value))"
 _SUMMARY = (
@@ -229,6 +284,29 @@ def oracle_sql() -> dict[str, str]:
     out["intervention_table"] = f"WITH {_DIAGNOSES} SELECT doc_id, type AS diagnosis, intervention, round(severity + 2e-9, 6) + 0.0 AS priority, focus_features FROM dia JOIN {_MAPPED} USING (type)"
     out["analyze_view"] = f"""WITH {_DIAGNOSES}, sh AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(severity, 9) DESC, rule_order) AS place FROM dia WHERE severity > 0.45)
  SELECT doc_id, type AS diagnosis, intervention, round(severity + 2e-9, 6) + 0.0 AS priority, place, {_BAND.format('severity')} AS band FROM sh JOIN {_MAPPED} USING (type) WHERE place <= 3"""
+    out["issue_evidence"] = f"WITH {_ISSUES}, {_EVIDENCE} SELECT iss.doc_id, emit_order, type, name, round(value + 2e-9, 6)::DOUBLE AS value FROM iss JOIN ev ON ev.doc_id = iss.doc_id AND ev.emission = iss.emission AND ev.place = iss.place"
+    out["issue_sentences"] = f"""WITH {_ISSUES}, rr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(0.7 * severity + 0.3 * group_score, 9) DESC, emit_order) AS rank FROM iss)
+ SELECT rr.doc_id, rank, md5(CASE WHEN type = 'weak_cohesion' THEN a.sent || ' / ' || b.sent ELSE b.sent END) AS digest FROM rr LEFT JOIN sk a ON a.doc_id = rr.doc_id AND a.sent_idx = rr.place - 1 JOIN sk b ON b.doc_id = rr.doc_id AND b.sent_idx = rr.place
+ WHERE rank <= 5 AND (type IN ('weak_cohesion', 'sentence_complexity') OR span = '0-1')"""
+    both = "(SELECT feature, value FROM (UNPIVOT f ON COLUMNS(* EXCLUDE doc_id) INTO NAME feature VALUE value) UNION ALL SELECT 'sentence_cosine_similarity', c FROM cs WHERE c IS NOT NULL)"
+    out["weak_cohesion_vectors"] = f"""WITH {_FEATURES}, {_COSINES}, {_stats(both)}, pr AS (SELECT doc_id, sent_idx, CASE WHEN use THEN c END AS similarity, CASE WHEN NOT use OR c IS NULL THEN {_ALIKE} END AS jaccard, CASE WHEN use THEN 'sentence_cosine_similarity' ELSE 'sentence_overlap' END AS feature
+  FROM sd JOIN cs USING (doc_id, sent_idx) JOIN fc USING (doc_id))
+ SELECT doc_id, sent_idx - 1 AS place, round(1 - {_soft('coalesce(similarity, jaccard)', 's0')} + 2e-9, 6)::DOUBLE AS severity, round(least(1, (1 - {_soft('coalesce(similarity, jaccard)', 's0')}) * {_stable('s0')}) + 2e-9, 6)::DOUBLE AS confidence,
+  round(similarity + 2e-9, 6)::DOUBLE AS similarity, round(jaccard + 2e-9, 6)::DOUBLE AS jaccard FROM pr LEFT JOIN st s0 USING (feature)"""
+    out["diagnosis_support"] = f"""WITH {_DIAGNOSES}, {_SUPPORT} SELECT su.doc_id, su.type, issues, spans, actions || ';' || exercises AS steps, name, round(value + 2e-9, 6)::DOUBLE AS value FROM su JOIN de ON de.doc_id = su.doc_id AND de.type = su.type JOIN {_STEPS} ON sp.type = su.type"""
+    out["diagnosis_vector"] = f"WITH {_DIAGNOSES} SELECT doc_id, " + ", ".join(f"round(coalesce(max(severity) FILTER (type = '{k}'), 0) + 2e-9, 6)::DOUBLE AS {k}" for k in C.DIAGNOSIS_KEYS) + " FROM dia GROUP BY 1"
+    out["derived_interventions"] = f"""WITH dm AS (SELECT record_id, unnest(map_keys(diagnoses)) AS type, unnest(map_values(diagnoses)) AS severity FROM training_records)
+ SELECT record_id, type AS diagnosis, intervention, round(severity + 2e-9, 6)::DOUBLE AS priority, actions FROM dm JOIN {_MAPPED} USING (type) JOIN {_STEPS} USING (type) WHERE severity > 0.5"""
+    largest = ", ".join([*(f"round(coalesce(any_value(sc.{k}), 0) + 2e-9, 6)::DOUBLE AS scores_{k}" for k in C.SCORE_KEYS), *(f"round(coalesce(max(iss.severity) FILTER (iss.type = '{k}'), 0) + 2e-9, 6)::DOUBLE AS issues_{k}" for k in C.ISSUE_KEYS)])
+    given = ", ".join(f"round(coalesce(max(severity) FILTER (type = '{k}'), 0) + 2e-9, 6)::DOUBLE AS diagnoses_{k}" for k in C.DIAGNOSIS_KEYS)
+    missing = ", ".join(f"coalesce(diagnoses_{k}, 0) AS diagnoses_{k}" for k in C.DIAGNOSIS_KEYS)
+    out["training_export"] = f"""WITH {_DIAGNOSES}, le AS (SELECT sc.doc_id, {largest}, round(coalesce(sum(iss.severity) FILTER (iss.type = 'sentence_complexity'), 0) + 2e-9, 6)::DOUBLE AS complexity, round(coalesce(sum(iss.severity) FILTER (iss.type = 'weak_cohesion'), 0) + 2e-9, 6)::DOUBLE AS cohesion FROM sc LEFT JOIN iss USING (doc_id) GROUP BY 1),
+ dv AS (SELECT doc_id, {given} FROM dia GROUP BY 1) SELECT le.*, {missing} FROM le LEFT JOIN dv USING (doc_id)"""
+    hidden = {f: "m" for f in C.FEATURE_GROUPS["morphology"]} | {f: "s" for f in C.FEATURE_GROUPS["syntax"]}
+    layered = ", ".join(f"CASE WHEN doc_id % {3 if hidden[f] == 'm' else 5} <> 0 THEN {f} END AS {f}" if f in hidden else f for f in C.FEATURES)
+    out["missing_layers"] = f"WITH {_FEATURES}, fl AS (SELECT doc_id, {layered} FROM f) SELECT doc_id, {_round('verb_ratio binyan_entropy avg_sentence_length clause_type_entropy type_token_ratio')}, " + ", ".join(f"round({x} + 2e-9, 6)::DOUBLE AS {k}" for k, x in _PARTIAL_SCORES.items()) + " FROM fl"
+    out["synthetic_metrics"] = f"""WITH {_RECORD_SENTENCES}, ms AS (SELECT record_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS place FROM rs0)
+ SELECT record_id, place, len(regexp_extract_all(s, '{WORD}')) AS n, len(list_distinct(regexp_extract_all(s, '{WORD}'))) AS kinds, 5.0::DOUBLE AS depth FROM ms"""
     out["text_ratios"] = f"WITH {_RATIOS} SELECT doc_id, marks, {_round('hebrew repetition links')} FROM ra WHERE text IS NOT NULL"
     out["quality_gate"] = f"WITH {_RATIOS} {_GATE}"
     out["rejection_histogram"] = f"WITH {_RATIOS} SELECT reason, count(*) AS n FROM ({_GATE}) GROUP BY 1"
@@ -270,6 +348,13 @@ def oracle_sql() -> dict[str, str]:
     out["multitask_loss"] = f"""WITH {_LONG}, m AS (SELECT avg((predicted - label) ** 2) FILTER (kind = 'scores') AS scores, avg({_ENTROPY}) FILTER (kind = 'issues') AS issues, avg({_ENTROPY}) FILTER (kind = 'diagnoses') AS diagnoses FROM lg)
  SELECT {_round('scores issues diagnoses')}, round(scores + 1.5 * issues + 2.0 * diagnoses + 2e-9, 6) + 0.0 AS total FROM m"""
     out["disagreements"] = f"WITH {_LONG} SELECT kind, key, count(*) FILTER (abs(predicted - label) > 0.3) AS differing, count(*) AS n FROM lg GROUP BY ALL"
+    out["disagreement_cases"] = f"WITH {_LONG} SELECT record_id, count(*) FILTER (abs(predicted - label) > 0.3) AS keys, round(max(label) FILTER (kind = 'scores' AND key = 'difficulty') + 2e-9, 6)::DOUBLE AS difficulty FROM lg GROUP BY 1 HAVING keys > 0"
+    out["evaluation"] = " UNION ALL ".join(f"SELECT '{m}' AS metric, kind, key, {c} AS value FROM ({out[q]})" for m, q, c in (("rmse", "rmse_scores", "rmse"), ("f1", "f1_per_type", "f1"), ("spearman", "spearman", "rho")))
+    top = lambda name, key: f"round(CASE WHEN len({name}) > 0 THEN list_max({name}) ELSE issues['{key}'] END + 2e-9, 6)::DOUBLE"
+    out["named_predictions"] = f"""SELECT record_id, len(list_filter(sentence_complexities, lambda x: x > 0.3)) AS sentences, len(list_filter(cohesion_pairs, lambda x: x > 0.3)) AS pairs, {top('sentence_complexities', 'sentence_complexity')} AS complexity, {top('cohesion_pairs', 'weak_cohesion')} AS cohesion
+ FROM training_records WHERE issues IS NOT NULL AND sentence_complexities IS NOT NULL AND cohesion_pairs IS NOT NULL"""
+    out["skip_take"] = "SELECT doc_id, printf('doc_%07d', r - 100) AS name FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE r > 100 AND r <= 300"
+    out["mapped_punctuation"] = """SELECT doc_id, md5(replace(translate(text, '“”‘’—–' || chr(160), '""' || chr(39) || chr(39) || '-- '), '…', '...')) AS digest, md5(trim(regexp_replace(replace(text, chr(9), ' '), ' +', ' ', 'g'), ' ')) AS parser_digest FROM documents"""
     out["merge_last_wins"] = """WITH b AS (SELECT coalesce(text, '') AS text, record_id, (split <> 'train')::INT AS newer FROM training_records WHERE split IS NOT NULL)
  SELECT md5(text) AS digest, arg_max(record_id, newer * 1000000000000 + record_id) AS record_id, min(newer) = 1 AS added FROM b GROUP BY text"""
     sure = "(" + " + ".join(f"coalesce(diagnoses['{k}'], 0)" for k in C.DIAGNOSIS_KEYS) + f") / {len(C.DIAGNOSIS_KEYS)}"

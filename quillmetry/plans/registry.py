@@ -62,8 +62,9 @@ def rare_word_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stats_of_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Features with sentence metrics, staged since the baseline must exist before the issues, and the baseline."""
-    wide = staged(_features(spark, sf_dir, ("m",)), "features")
-    return wide, baseline.feature_stats(baseline.long_features(wide.drop("m"), "doc_id"))
+    rare = features.rare_words(analysed(spark, sf_dir), "doc_id", freq_dict(spark, sf_dir))
+    wide = staged(features.document_features(rare, "doc_id", ("m", "sentences")), "features")
+    return wide, baseline.feature_stats(baseline.long_features(wide.drop("m", "sentences"), "doc_id"))
 
 
 def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +92,17 @@ def normalized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.normalized_features(_features(spark, sf_dir), "doc_id").drop("rare_word_ratio"))
 
 
-def _issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _issues(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     wide, stats = _stats_of_documents(spark, sf_dir)
-    return wide, issues.detect(wide, staged(stats, "stats"), "doc_id")
+    return wide, issues.detect(scoring.with_scores(wide), staged(stats, "stats"), "doc_id", keep=keep)
+
+
+def _joined(span: Column) -> Column:
+    return F.array_join(F.transform(span, lambda x: x.cast("string")), "-")
 
 
 def _span(df: DataFrame) -> DataFrame:
-    return df.withColumn("span", F.array_join(F.transform("span", lambda x: x.cast("string")), "-"))
+    return df.withColumn("span", _joined(F.col("span"))).drop("evidence")
 
 
 def issue_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,18 +123,87 @@ def issue_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide, found = _issues(spark, sf_dir)
-    scores = scoring.with_scores(wide.drop("m")).select("doc_id", *C.SCORE_KEYS)
-    return diagnoses.diagnose(issues.issue_rows(found, "doc_id"), scores, "doc_id")
+    return diagnoses.diagnose(_issues(spark, sf_dir, tuple(C.SCORE_KEYS))[1], "doc_id")
+
+
+def issue_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that each issue is told from, read back from the JSON of the issues."""
+    kind = "struct<issues:array<struct<type:string,span:array<int>,evidence:map<string,double>>>>"
+    rows = issues.issues_json(_issues(spark, sf_dir)[1], "doc_id").select("doc_id", F.posexplode(F.from_json("json", kind)["issues"]).alias("emit_order", "x"))
+    return rounded(rows.select("doc_id", F.col("emit_order").cast("long").alias("emit_order"), "x.type", F.explode("x.evidence").alias("name", "value")))
+
+
+def issue_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that the top-ranked issues of one sentence or two neighbours stand in."""
+    wide, found = _issues(spark, sf_dir, ("sentences",))
+    rows = issues.ranked(found, "doc_id").join(wide.select("doc_id", "sentences"), "doc_id").withColumn("sentence", issues.span_text(F.col("span"), F.col("sentences")))
+    return rows.where("sentence is not null").select("doc_id", F.col("rank").cast("long").alias("rank"), F.md5(F.col("sentence")).alias("digest"))
+
+
+def weak_cohesion_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``weak_cohesion`` from sentence vectors: here the unit-long counts of tokens by length modulo 8."""
+    wide, stats = _stats_of_documents(spark, sf_dir)
+    counted = lambda lengths: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.size(F.filter(lengths, lambda x: x == k)).cast("double"))
+    lengths = lambda s: F.transform(T.tokens(s), lambda t: F.length(t) % 8)
+    # Written between the steps, so that vectors aren't worked out again for each of their pairs.
+    rows = staged(wide.withColumn("lengths", F.transform("sentences", lengths)), "lengths")
+    rows = staged(rows.withColumn("vectors", F.transform("lengths", counted)).drop("lengths"), "vectors")
+    rows = staged(baseline.with_similarities(rows, "vectors", "similar").drop("vectors"), "similar")
+    long = rows.select("doc_id", F.lit("sentence_cosine_similarity").alias("feature"), F.explode("similar").alias("value"))
+    found = issues.detect(rows, staged(stats.unionByName(baseline.feature_stats(long)), "stats"), "doc_id", similar="similar")
+    table = issues.issue_rows(found, "doc_id").where("type = 'weak_cohesion'")
+    return rounded(table.select("doc_id", F.col("span")[0].cast("long").alias("place"), "severity", "confidence", F.col("evidence")["cosine_similarity"].alias("similarity"), F.col("evidence")["jaccard"].alias("jaccard")))
 
 
 def diagnosis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_diagnoses(spark, sf_dir).drop("rule_order"))
+    return rounded(_diagnoses(spark, sf_dir).select("doc_id", "type", "severity", "confidence"))
+
+
+def diagnosis_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supporting issues, the number of their spans and the evidence of diagnoses, read back from the JSON of the interpretation."""
+    kind = "struct<diagnoses:array<struct<type:string,supporting_issues:array<string>,supporting_spans:array<array<int>>,evidence:map<string,double>>>,interventions:array<struct<type:string,target_diagnosis:string,actions:array<string>,exercises:array<string>>>>"
+    rows = diagnoses.interpretation_json(staged(_diagnoses(spark, sf_dir), "diagnoses"), "doc_id").select("doc_id", F.from_json("json", kind).alias("x"))
+    rows = rows.select("doc_id", F.explode(F.arrays_zip(F.col("x.diagnoses").alias("d"), F.col("x.interventions").alias("i"))).alias("y")).select("doc_id", "y.d.*", "y.i.actions", "y.i.exercises")
+    rows = rows.select("doc_id", "type", F.array_join("supporting_issues", ",").alias("issues"), F.size("supporting_spans").cast("long").alias("spans"), F.array_join(F.concat("actions", "exercises"), ";").alias("steps"), F.explode("evidence").alias("name", "value"))
+    return rounded(rows)
+
+
+def diagnosis_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(issues.severity_vector(_diagnoses(spark, sf_dir), "doc_id", C.DIAGNOSIS_KEYS))
+
+
+def derived_interventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interventions derived from the diagnoses of training records."""
+    rows = diagnoses.derived_interventions(read(spark, sf_dir, "training_records"), "record_id")
+    return rounded(rows.select("record_id", "diagnosis", "intervention", "priority", F.array_join("actions", ";").alias("actions")))
+
+
+def training_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole training record of each document: scores, severities of all issues and diagnoses, sentence labels."""
+    found = staged(_issues(spark, sf_dir, (*C.SCORE_KEYS, "sentences"))[1], "issues")
+    rows = distill.training_records(found, diagnoses.diagnose(found, "doc_id"), "doc_id")
+    wide = [F.coalesce(F.col(kind)[k], F.lit(0.0)).alias(f"{kind}_{k}") for kind, keys in distill.KINDS.items() for k in keys]
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return rounded(rows.select("doc_id", *wide, total("sentence_complexities").alias("complexity"), total("cohesion_pairs").alias("cohesion")))
+
+
+def missing_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features where every third document lacks the morphology and every fifth the syntax."""
+    docs = analysed(spark, sf_dir).withColumn("has_m", F.pmod("doc_id", F.lit(3)) != 0).withColumn("has_s", F.pmod("doc_id", F.lit(5)) != 0)
+    rows = features.document_features(docs, "doc_id", has_morphology="has_m", has_syntax="has_s")
+    return rounded(scoring.with_scores(rows).select("doc_id", "verb_ratio", "binyan_entropy", "avg_sentence_length", "clause_type_entropy", "type_token_ratio", *C.SCORE_KEYS))
+
+
+def synthetic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence metrics of records without a parse: words for tokens and lemmas, one depth for all sentences."""
+    rows = read(spark, sf_dir, "training_records").where("text is not null").withColumn("depth", F.lit(4.0))
+    out = frames.synthetic_metrics(rows, "text", "depth").select("record_id", F.posexplode("m").alias("place", "x"))
+    return out.select("record_id", F.col("place").cast("long").alias("place"), F.col("x.n").cast("long").alias("n"), F.size("x.lemmas").cast("long").alias("kinds"), F.col("x.depth").alias("depth"))
 
 
 def intervention_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = diagnoses.interventions(_diagnoses(spark, sf_dir), "doc_id")
-    return rounded(rows.withColumn("focus_features", F.array_join("focus_features", ",")).drop("rule_order"))
+    return rounded(rows.withColumn("focus_features", F.array_join("focus_features", ",")).drop("rule_order", "actions", "exercises"))
 
 
 def analyze_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +344,33 @@ def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.count_if("differs").alias("differing"), F.count(F.lit(1)).alias("n"))
 
 
+def disagreement_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that any key disagrees on, with the number of such keys and their own labels."""
+    cases = distill.disagreement_cases(distill.disagreements(label_pairs(spark, sf_dir), "record_id"), "record_id")
+    labels = read(spark, sf_dir, "training_records").select("record_id", "scores")
+    return rounded(cases.join(labels, "record_id").select("record_id", "keys", distill.value("scores", "difficulty").alias("difficulty")))
+
+
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of predictions in one table: error of the scores, F1 and rank correlation of the others."""
+    return rounded(distill.evaluation(label_pairs(spark, sf_dir), "record_id"))
+
+
+def named_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = distill.named_predictions(read(spark, sf_dir, "training_records").where("issues is not null and sentence_complexities is not null and cohesion_pairs is not null"))
+    return rounded(rows.select("record_id", F.size("sentence_list").cast("long").alias("sentences"), F.size("pair_list").cast("long").alias("pairs"), F.try_element_at("named_issues", F.lit("sentence_complexity")).alias("complexity"), F.try_element_at("named_issues", F.lit("weak_cohesion")).alias("cohesion")))
+
+
+def skip_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents 101 to 300 in the order of their ids, numbered."""
+    return prep.skip_take(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", skip=100, take=200)
+
+
+def mapped_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.punctuation_mapped(t)).alias("digest"), F.md5(T.parser_input(t)).alias("parser_digest"))
+
+
 def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "training_records").select("record_id", "text", "split")
     merged = distill.merged_last_wins(rows.where("split = 'train'"), rows.where("split <> 'train'"), "text", "record_id")
@@ -324,10 +425,10 @@ def queries() -> dict[str, Query]:
     groups = {f"{name}_features": _group(name) for name in C.FEATURE_GROUPS}
     plain = (
         token_counts, token_affixes, binyan_distribution, freq_dict, rare_word_ratio, feature_stats, feature_stats_flat, feature_stats_merged, composite_scores,
-        normalized_features, issue_table, group_scores, ranked_issues_topk, issue_vector, diagnosis_table, intervention_table, analyze_view, quality_gate,
+        normalized_features, issue_table, issue_evidence, issue_sentences, weak_cohesion_vectors, group_scores, ranked_issues_topk, issue_vector, diagnosis_table, diagnosis_support, diagnosis_vector, intervention_table, derived_interventions, analyze_view, training_export, missing_layers, synthetic_metrics, quality_gate,
         rejection_histogram, text_ratios, fixed_size_groups, summary_stats, iqr_outliers, range_fitness, null_counts, layer_health, feature_correlations,
         score_correlations, score_histogram, revision_deltas, severity_bands, label_stats, export_records, trained_labels, f1_per_type, rmse_scores, spearman,
-        multitask_loss, disagreements, merge_last_wins, hybrid_routing, train_val_split, embedding_cohesion, sentence_annotations, cohesion_gaps,
+        multitask_loss, disagreements, disagreement_cases, evaluation, named_predictions, skip_take, mapped_punctuation, merge_last_wins, hybrid_routing, train_val_split, embedding_cohesion, sentence_annotations, cohesion_gaps,
         resumable_antijoin, share_url,
     )
     return groups | {f.__name__: f for f in plain}
