@@ -58,15 +58,6 @@ def similarity_stats(vectors: DataFrame, item: str, place: str, vector: str) ->
     return pairs.select(item, F.lit("sentence_cosine_similarity").alias("feature"), dot(F.col("a"), F.col("b")).alias("value"))
 
 
-def with_similarities(df: DataFrame, vectors: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the cosine of each vector of the array ``vectors`` and the next one; null beside a vector of zeros or null."""
-    norm = lambda v: F.sqrt(dot(v, v))
-    v = F.col(vectors)
-    cosine = lambda i: F.try_divide(dot(F.get(v, i - 1), F.get(v, i)), norm(F.get(v, i - 1)) * norm(F.get(v, i)))
-    pairs = F.when(F.size(v) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), cosine))
-    return df.withColumn(out, F.coalesce(pairs, F.array().cast("array<double>")))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -54,15 +54,13 @@ def _of_document(kind: str, group: str, parts: list[tuple[str, float, bool]], n:
     return F.when(present > 0, issue)
 
 
-def detect(features: DataFrame, stats: DataFrame, item: str, metrics: str = "m", keep: tuple[str, ...] = (), similar: str | None = None) -> DataFrame:
+def detect(features: DataFrame, stats: DataFrame, item: str, metrics: str = "m", keep: tuple[str, ...] = ()) -> DataFrame:
     """``item``, ``keep`` and ``issues``, an array in order of emission, each issue with the values it is told from as ``evidence``.
 
     ``features`` holds the 32 features and ``metrics``, an array of sentences with ``n`` (tokens),
     ``depth`` (from the virtual root) and ``lemmas``. Spans are sentence indexes: the whole text
     ``[0, N]``, one sentence ``[i]``, or a pair ``[i, i + 1]``. A document without sentences keeps
-    its document-level issues. ``similar`` may name an array with the similarity of the vectors of each
-    sentence and the next one: it takes the place of the shared lemmas for the pairs that have one,
-    if the baseline holds ``sentence_cosine_similarity`` and the first pair has one.
+    its document-level issues.
     """
     rows = features.withColumn("one", F.lit(1)).join(B.stats_map(stats), "one")
     # Looked up once a row, not in every sentence.
@@ -74,18 +72,11 @@ def detect(features: DataFrame, stats: DataFrame, item: str, metrics: str = "m",
     tokens = lambda x: B.soft_score(x["n"].cast("double"), length["mean"], length["std"])
     deep = lambda x: B.soft_score(F.greatest(x["depth"] - 1, F.lit(0)).cast("double"), depth["mean"], depth["std"])
     each = F.transform(m, lambda x, i: _issue("sentence_complexity", "syntax", 0.6 * tokens(x) + 0.4 * deep(x), F.lit(1.0), [length, depth], F.array(i), _values({"token_count": x["n"], "tree_depth": F.greatest(x["depth"] - 1, F.lit(0))})))
-    cosine_stat = F.try_element_at(F.col("stats"), F.lit("sentence_cosine_similarity"))
 
     def pair(i: Column) -> Column:
         a, b = F.get(m, i - 1)["lemmas"], F.get(m, i)["lemmas"]
         alike = F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
-        if similar is None:
-            return _issue("weak_cohesion", "discourse", 1 - B.soft_score(alike, overlap["mean"], overlap["std"]), F.lit(1.0), [overlap], F.array(i - 1, i), _values({"jaccard": alike}))
-        by_vector = cosine_stat.isNotNull() & F.get(similar, F.lit(0)).isNotNull()
-        cosine = F.when(by_vector, F.get(similar, i - 1))
-        stat = F.when(by_vector, cosine_stat).otherwise(overlap)
-        value = F.coalesce(cosine, alike)
-        return _issue("weak_cohesion", "discourse", 1 - B.soft_score(value, stat["mean"], stat["std"]), F.lit(1.0), [stat], F.array(i - 1, i), _values({"cosine_similarity": cosine, "jaccard": F.when(cosine.isNull(), alike)}))
+        return _issue("weak_cohesion", "discourse", 1 - B.soft_score(alike, overlap["mean"], overlap["std"]), F.lit(1.0), [overlap], F.array(i - 1, i), _values({"jaccard": alike}))
 
     none = F.array().cast(NO_ISSUES)
     pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), pair)).otherwise(none)

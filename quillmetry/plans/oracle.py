@@ -174,10 +174,6 @@ _DOCUMENT_EVIDENCE = " UNION ALL ".join(f"SELECT doc_id, {C.EMISSION[kind]} AS e
 _EVIDENCE = f"""ev AS ({_DOCUMENT_EVIDENCE}
  UNION ALL SELECT doc_id, {C.EMISSION['sentence_complexity']}, sent_idx, 'token_count', n::DOUBLE FROM sd UNION ALL SELECT doc_id, {C.EMISSION['sentence_complexity']}, sent_idx, 'tree_depth', greatest(depth - 1, 0)::DOUBLE FROM sd
  UNION ALL SELECT doc_id, {C.EMISSION['weak_cohesion']}, sent_idx, 'jaccard', ({_ALIKE})::DOUBLE FROM sd WHERE before IS NOT NULL)"""
-_VECTOR = "[" + ", ".join(f"len(list_filter(regexp_extract_all(sent, '{TOKEN}'), lambda t: length(t) % 8 = {k}))::DOUBLE" for k in range(8)) + "]"
-_COSINES = f"""vs AS (SELECT doc_id, sent_idx, {_VECTOR} AS v FROM sk), vp AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS u FROM vs),
-cs AS (SELECT doc_id, sent_idx, list_dot_product(u, v) / nullif(sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)), 0) AS c FROM vp WHERE u IS NOT NULL),
-fc AS (SELECT doc_id, c IS NOT NULL AS use FROM cs WHERE sent_idx = 1)"""
 _STEPS = "(VALUES " + ", ".join(f"('{d}', '{';'.join(C.ACTIONS[d])}', '{';'.join(C.EXERCISES[d])}')" for d in C.INTERVENTIONS) + ") AS sp(type, actions, exercises)"
 
 
@@ -288,11 +284,6 @@ def oracle_sql() -> dict[str, str]:
     out["issue_sentences"] = f"""WITH {_ISSUES}, rr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(0.7 * severity + 0.3 * group_score, 9) DESC, emit_order) AS rank FROM iss)
  SELECT rr.doc_id, rank, md5(CASE WHEN type = 'weak_cohesion' THEN a.sent || ' / ' || b.sent ELSE b.sent END) AS digest FROM rr LEFT JOIN sk a ON a.doc_id = rr.doc_id AND a.sent_idx = rr.place - 1 JOIN sk b ON b.doc_id = rr.doc_id AND b.sent_idx = rr.place
  WHERE rank <= 5 AND (type IN ('weak_cohesion', 'sentence_complexity') OR span = '0-1')"""
-    both = "(SELECT feature, value FROM (UNPIVOT f ON COLUMNS(* EXCLUDE doc_id) INTO NAME feature VALUE value) UNION ALL SELECT 'sentence_cosine_similarity', c FROM cs WHERE c IS NOT NULL)"
-    out["weak_cohesion_vectors"] = f"""WITH {_FEATURES}, {_COSINES}, {_stats(both)}, pr AS (SELECT doc_id, sent_idx, CASE WHEN use THEN c END AS similarity, CASE WHEN NOT use OR c IS NULL THEN {_ALIKE} END AS jaccard, CASE WHEN use THEN 'sentence_cosine_similarity' ELSE 'sentence_overlap' END AS feature
-  FROM sd JOIN cs USING (doc_id, sent_idx) JOIN fc USING (doc_id))
- SELECT doc_id, sent_idx - 1 AS place, round(1 - {_soft('coalesce(similarity, jaccard)', 's0')} + 2e-9, 6)::DOUBLE AS severity, round(least(1, (1 - {_soft('coalesce(similarity, jaccard)', 's0')}) * {_stable('s0')}) + 2e-9, 6)::DOUBLE AS confidence,
-  round(similarity + 2e-9, 6)::DOUBLE AS similarity, round(jaccard + 2e-9, 6)::DOUBLE AS jaccard FROM pr LEFT JOIN st s0 USING (feature)"""
     out["diagnosis_support"] = f"""WITH {_DIAGNOSES}, {_SUPPORT} SELECT su.doc_id, su.type, issues, spans, actions || ';' || exercises AS steps, name, round(value + 2e-9, 6)::DOUBLE AS value FROM su JOIN de ON de.doc_id = su.doc_id AND de.type = su.type JOIN {_STEPS} ON sp.type = su.type"""
     out["diagnosis_vector"] = f"WITH {_DIAGNOSES} SELECT doc_id, " + ", ".join(f"round(coalesce(max(severity) FILTER (type = '{k}'), 0) + 2e-9, 6)::DOUBLE AS {k}" for k in C.DIAGNOSIS_KEYS) + " FROM dia GROUP BY 1"
     out["derived_interventions"] = f"""WITH dm AS (SELECT record_id, unnest(map_keys(diagnoses)) AS type, unnest(map_values(diagnoses)) AS severity FROM training_records)

@@ -140,6 +140,24 @@ def issue_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("sentence is not null").select("doc_id", F.col("rank").cast("long").alias("rank"), F.md5(F.col("sentence")).alias("digest"))
 
 
+def _diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnoses.diagnose(_issues(spark, sf_dir, tuple(C.SCORE_KEYS))[1], "doc_id")
+
+
+def issue_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that each issue is told from, read back from the JSON of the issues."""
+    kind = "struct<issues:array<struct<type:string,span:array<int>,evidence:map<string,double>>>>"
+    rows = issues.issues_json(_issues(spark, sf_dir)[1], "doc_id").select("doc_id", F.posexplode(F.from_json("json", kind)["issues"]).alias("emit_order", "x"))
+    return rounded(rows.select("doc_id", F.col("emit_order").cast("long").alias("emit_order"), "x.type", F.explode("x.evidence").alias("name", "value")))
+
+
+def issue_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that the top-ranked issues of one sentence or two neighbours stand in."""
+    wide, found = _issues(spark, sf_dir, ("sentences",))
+    rows = issues.ranked(found, "doc_id").join(wide.select("doc_id", "sentences"), "doc_id").withColumn("sentence", issues.span_text(F.col("span"), F.col("sentences")))
+    return rows.where("sentence is not null").select("doc_id", F.col("rank").cast("long").alias("rank"), F.md5(F.col("sentence")).alias("digest"))
+
+
 def weak_cohesion_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``weak_cohesion`` from sentence vectors: here the unit-long counts of tokens by length modulo 8."""
     wide, stats = _stats_of_documents(spark, sf_dir)
@@ -425,7 +443,7 @@ def queries() -> dict[str, Query]:
     groups = {f"{name}_features": _group(name) for name in C.FEATURE_GROUPS}
     plain = (
         token_counts, token_affixes, binyan_distribution, freq_dict, rare_word_ratio, feature_stats, feature_stats_flat, feature_stats_merged, composite_scores,
-        normalized_features, issue_table, issue_evidence, issue_sentences, weak_cohesion_vectors, group_scores, ranked_issues_topk, issue_vector, diagnosis_table, diagnosis_support, diagnosis_vector, intervention_table, derived_interventions, analyze_view, training_export, missing_layers, synthetic_metrics, quality_gate,
+        normalized_features, issue_table, issue_evidence, issue_sentences, group_scores, ranked_issues_topk, issue_vector, diagnosis_table, diagnosis_support, diagnosis_vector, intervention_table, derived_interventions, analyze_view, training_export, missing_layers, synthetic_metrics, quality_gate,
         rejection_histogram, text_ratios, fixed_size_groups, summary_stats, iqr_outliers, range_fitness, null_counts, layer_health, feature_correlations,
         score_correlations, score_histogram, revision_deltas, severity_bands, label_stats, export_records, trained_labels, f1_per_type, rmse_scores, spearman,
         multitask_loss, disagreements, disagreement_cases, evaluation, named_predictions, skip_take, mapped_punctuation, merge_last_wins, hybrid_routing, train_val_split, embedding_cohesion, sentence_annotations, cohesion_gaps,

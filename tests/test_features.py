@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -128,12 +129,40 @@ def test_issues(spark):
 
 
 def test_diagnoses(spark):
-    issue_table = spark.createDataFrame(
-        [(1, "weak_cohesion", 0.9, 0.5), (1, "weak_cohesion", 0.2, 0.1), (1, "missing_connectives", 0.5, 0.4), (1, "fragmentation", 0.7, 0.3), (1, "fragmentation", 0.9, 0.8), (1, "pronoun_ambiguity", 0.7, 0.6)], "doc_id int, type string, severity double, confidence double"
-    )
-    scores = spark.createDataFrame([(1, None, None, None, 1.0, None), (2, 1.0, 1.0, 1.0, 1.0, 1.0)], "doc_id int, " + ", ".join(f"{k} double" for k in C.SCORE_KEYS))
-    found = diagnoses.diagnose(issue_table, scores, "doc_id")
-    got = {r.type: (round(r.severity, 6), r.confidence) for r in found.collect()}
+    rows = [("weak_cohesion", 0.9, 0.5, [0, 1]), ("weak_cohesion", 0.2, 0.1, [1, 2]), ("missing_connectives", 0.5, 0.4, [0, 3]), ("fragmentation", 0.7, 0.3, [0, 3]), ("fragmentation", 0.9, 0.8, [0, 3]), ("pronoun_ambiguity", 0.7, 0.6, [0, 3])]
+    kind = "issues array<struct<type:string,severity:double,confidence:double,span:array<int>>>"
+    table = spark.createDataFrame([(1, rows, None, None, None, 1.0, None), (2, [], 1.0, 1.0, 1.0, 1.0, 1.0)], f"doc_id int, {kind}, " + ", ".join(f"{k} double" for k in C.SCORE_KEYS))
+    found = diagnoses.diagnose(table, "doc_id")
+    all_found = {r.type: r for r in found.collect()}
+    got = {k: (round(r.severity, 6), r.confidence) for k, r in all_found.items()}
     assert got == {"low_cohesion": (0.74, 0.1), "fragmented_writing": (0.9, 0.8), "pronoun_overuse": (0.76, 0.6)}
-    mapped = {r.diagnosis: r.intervention for r in diagnoses.interventions(found, "doc_id").collect()}
-    assert mapped == {k: C.INTERVENTIONS[k][0] for k in got}
+    low = all_found["low_cohesion"]
+    assert low.supporting_issues == ["weak_cohesion", "missing_connectives"] and low.supporting_spans == [[0, 1], [1, 2], [0, 3]]
+    assert low.evidence == {"max_weak_cohesion_severity": 0.9, "max_missing_connectives_severity": 0.5} and all_found["pronoun_overuse"].evidence["cohesion_score"] == 1.0
+    mapped = {r.diagnosis: (r.intervention, len(r.actions), len(r.exercises)) for r in diagnoses.interventions(found, "doc_id").collect()}
+    assert mapped == {k: (C.INTERVENTIONS[k][0], 3, 3) for k in got}
+    text = json.loads(diagnoses.interpretation_json(found, "doc_id").first().json)
+    assert [d["type"] for d in text["diagnoses"]] == ["fragmented_writing", "pronoun_overuse", "low_cohesion"] and [i["target_diagnosis"] for i in text["interventions"]] == [d["type"] for d in text["diagnoses"]]
+
+
+def test_a_missing_score_is_noted(spark):
+    table = spark.createDataFrame([(1, [("pronoun_ambiguity", 0.9, 0.6, [0, 1])], *[None] * 5)], "doc_id int, issues array<struct<type:string,severity:double,confidence:double,span:array<int>>>, " + ", ".join(f"{k} double" for k in C.SCORE_KEYS))
+    (row,) = diagnoses.diagnose(table, "doc_id").collect()
+    assert row.evidence == {"max_pronoun_ambiguity_severity": 0.9, "cohesion_score": 0.0, "cohesion_missing": 1.0}
+
+
+def test_issues_carry_evidence(spark):
+    found = _issues(spark)
+    by_type = {}
+    for r in issues.issue_rows(found, "doc_id").collect():
+        by_type.setdefault(r.type, set()).update(r.evidence)
+    assert by_type["sentence_complexity"] == {"token_count", "tree_depth"} and by_type["weak_cohesion"] == {"jaccard"}
+    assert by_type["low_lexical_diversity"] == {"lemma_diversity", "type_token_ratio"}
+    assert all({"rank_score", "group_score"} <= set(r.evidence) for r in issues.ranked(found, "doc_id").collect())
+    texts = {r.doc_id: json.loads(r.json)["issues"] for r in issues.issues_json(found, "doc_id").collect()}
+    assert all(set(i) == {"type", "group", "severity", "confidence", "span", "evidence"} for i in texts[1])
+
+
+def test_derived_interventions(spark):
+    df = spark.createDataFrame([(1, {"low_cohesion": 0.6, "pronoun_overuse": 0.5, "unknown": 0.9}), (2, None)], "id int, diagnoses map<string,double>")
+    assert [(r.id, r.diagnosis, r.priority) for r in diagnoses.derived_interventions(df, "id").collect()] == [(1, "low_cohesion", 0.6)]

@@ -194,7 +194,7 @@ def test_queries_against_sql(spark):
     plain = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else round(float(v), 5) + 0.0 if isinstance(v, (int, float)) else str(v)
     queries, sql = registry.queries(), oracle.oracle_sql()
     assert set(queries) == set(sql)
-    for name in "token_counts token_affixes syntax_features ranked_issues_topk diagnosis_table quality_gate summary_stats spearman merge_last_wins cohesion_gaps share_url".split():
+    for name in "token_counts token_affixes syntax_features ranked_issues_topk diagnosis_table quality_gate summary_stats spearman merge_last_wins cohesion_gaps share_url diagnosis_support derived_interventions missing_layers synthetic_metrics disagreement_cases named_predictions feature_stats_flat feature_stats_merged hybrid_routing".split():
         got = queries[name](spark, folder)
         columns = sorted(got.columns)
         want = con.execute(f"select {', '.join(columns)} from ({sql[name]})").fetchall()
