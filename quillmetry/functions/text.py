@@ -35,12 +35,13 @@ def sentences(text: Column) -> Column:
 
 def parser_sentences(text: Column, spaced_only: bool = True) -> Column:
     """The split used before parsing: also at line breaks; pieces stripped, by default only those with a blank."""
-    pieces = F.split(_strip(text), r"(?<=[.!?׃])\s+|(?<=\n)\n*|(?<!\S)\n+")
-    pieces = F.filter(F.transform(pieces, _strip), lambda s: s != "")
+    pieces = F.split(stripped(text), r"(?<=[.!?׃])\s+|(?<=\n)\n*|(?<!\S)\n+")
+    pieces = F.filter(F.transform(pieces, stripped), lambda s: s != "")
     return F.filter(pieces, lambda s: F.contains(s, F.lit(" "))) if spaced_only else pieces
 
 
-def _strip(text: Column) -> Column:
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
@@ -79,7 +80,7 @@ def script_ratio(text: Column, script: str = "֐-׿") -> Column:
 
 def repetition_ratio(text: Column) -> Column:
     """Share of repeated sentences among the non-empty ones; 0 below two."""
-    parts = F.filter(F.transform(F.split(text, "[.!?]"), _strip), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, "[.!?]"), stripped), lambda s: s != "")
     return F.get(F.transform(F.array(parts), lambda p: F.when(F.size(p) >= 2, (F.size(p) - F.size(F.array_distinct(p))) / F.size(p)).otherwise(0.0)), F.lit(0))
 
 

@@ -87,16 +87,24 @@ def annotated(df: DataFrame, annotator: Callable[[pd.Series], pd.Series], item:
     """Hook for an external model: a function from a series of texts to a series of lists of dicts.
 
     The function runs once per Arrow batch in the Python workers, so a model that it loads lazily
-    is loaded once a worker. A batch that raises gives its rows with ``error`` and a null result.
+    is loaded once a worker. A batch that raises is given again text by text: only the texts that
+    raise get a null result and an ``error``.
     """
     kind = df.schema[item].dataType.simpleString()
 
+    def one(text: pd.Series) -> tuple[object, str | None]:
+        try:
+            return list(annotator(text))[0], None
+        except Exception as problem:  # noqa: BLE001 - the row says what went wrong
+            return None, f"{type(problem).__name__}: {problem}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
                 yield pd.DataFrame({"item": batch["item"], "parsed": annotator(batch["text"]), "error": None})
-            except Exception as problem:  # noqa: BLE001 - the row says what went wrong
-                yield pd.DataFrame({"item": batch["item"], "parsed": None, "error": f"{type(problem).__name__}: {problem}"})
+            except Exception:  # noqa: BLE001 - told apart text by text
+                done = [one(batch["text"].iloc[i : i + 1]) for i in range(len(batch))]
+                yield pd.DataFrame({"item": batch["item"].tolist(), "parsed": [d[0] for d in done], "error": [d[1] for d in done]})
 
     rows = df.select(F.col(item).alias("item"), F.col(text).alias("text"))
     return rows.mapInPandas(run, f"item {kind}, parsed {schema}, error string").withColumnRenamed("item", item)

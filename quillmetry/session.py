@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,11 +34,13 @@ def build_session(app_name: str = "quillmetry", cpus: str = "*", **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset (tests, a
-    single machine) a temporary folder is made once and kept in the setting.
+    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset on a single machine
+    (tests) a temporary folder is made once and kept in the setting; on a cluster it's an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = os.path.join(tempfile.gettempdir(), f"quillmetry-{uuid.uuid4().hex[:8]}")
         atexit.register(shutil.rmtree, place, ignore_errors=True)
         folder = "file://" + place

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmetry.functions import text as T
+
 
 def text_directory(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """One row per file: ``doc_id`` (its stem), ``path``, ``text``, ``error`` (``EncodingError`` where the bytes aren't UTF-8)."""
@@ -20,7 +22,7 @@ def whole_file(spark: SparkSession, path: str) -> DataFrame:
 
 def line_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank stripped lines with ``line_no``, rising in file order (numbers aren't dense)."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.trim("value").alias("line"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), T.stripped(F.col("value")).alias("line"))
     return lines.where("line <> ''")
 
 
@@ -79,10 +81,8 @@ def conll(lines: DataFrame, item: str, line: str = "line_no", raw: str = "raw")
     rows = lines.withColumn("__blank", blank).withColumn("sent_idx", F.sum(starts.cast("int")).over(w) - 1)
     cells = F.split(raw, "\t")
     rows = rows.where(~F.col("__blank") & (F.size(cells) >= 8))
-    from quillmetry.functions.text import feature_map
-
     return rows.select(
-        item, line, "sent_idx", cells[0].try_cast("int").alias("id"), cells[1].alias("form"), cells[2].alias("lemma"), cells[3].alias("cpostag"), cells[4].alias("postag"), feature_map(cells[5]).alias("features"), cells[6].try_cast("int").alias("head"), cells[7].alias("deprel")
+        item, line, "sent_idx", cells[0].try_cast("int").alias("id"), cells[1].alias("form"), cells[2].alias("lemma"), cells[3].alias("cpostag"), cells[4].alias("postag"), T.feature_map(cells[5]).alias("features"), cells[6].try_cast("int").alias("head"), cells[7].alias("deprel")
     )
 
 
