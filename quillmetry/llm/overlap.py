@@ -1,23 +1,22 @@
 """Records of one split that stand, exactly or lightly revised, in another (problem 1).
 
-A weighted cosine join. A text is a vector over its words with weight sqrt(count / n), so two
-texts that share a part ``t`` of the longer one's words have a dot product of at least ``t``.
+A text is a vector over its words, so two texts that share a part ``t`` of the longer one's
+words, in order, have all but ``n - ceil(t n)`` of the ``n`` words of either in common.
 
 * Texts with the same words form one class; one of them stands for it.
-* Words are ordered from rare to frequent, by counters of fixed size. In that order the words
-  behind the first ``n - ceil(t n) + 1`` have a residual norm below ``t``: a pair must share
-  one of the words before, so all of those enter the inverted lists and one hit is enough.
-  Words that only one part holds can't be shared; they count in the order but have no list.
-  The lists of frequent words are split by ranges of length and, beyond, by salt.
-* The join keeps what a true pair must fulfil at the first word in common: lengths, places in
-  both texts and ranks in both orders that leave room for ``t`` of the longer text, and a
-  bound of the words of one text that the other lacks, from sketches of the two vectors
-  (a bit per word and number of its occurrence).
-* A word that is left out breaks two pairs of neighbours at most, one that is put in one: of texts
-  of ``n`` and ``m`` words with ``c`` in common ``3 c - n - m - 1`` neighbours stay. Larger
-  sketches of words and neighbours drop pairs below these bounds, in cells of texts that have
-  pairs, so that a text is sent once a cell and never more often than it has pairs.
-* The exact dot product, then the longest common subsequence of words, decide.
+* Classes of the first part are parted by length, as evenly in work as in words. A task goes
+  through the classes of the second part that are near in length, in blocks of a fixed number of words.
+* A block is an index: which of its texts hold a word for the k-th time, as bits, or as a list
+  where few do. Texts without words in common (languages) stand in segments of their own.
+* A text's words are dealt to one group more than it may lack words, so a partner holds at least
+  one group whole (pigeonhole). Words that no text of a segment holds fill groups that can't be held;
+  of the others each group gets a rare word, and more frequent ones in layers. The texts that hold a
+  group are an AND of rows of bits, those worth a comparison the OR of the groups: a pair costs a
+  few bits where a join of lists makes a row of each word in common.
+* Sketches of words and of neighbours drop pairs: a word that is left out breaks two pairs of
+  neighbours at most, one that is put in one: of texts of ``n`` and ``m`` words with ``c`` in common
+  ``3 c - n - m - 1`` neighbours stay.
+* The exact dot product, with weights sqrt(count / n), then the longest common subsequence of words, decide.
 
 No step drops a pair that meets the definition.
 """
@@ -28,27 +27,32 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmetry.llm.looks import one_form
 from quillmetry.session import staged
 
-#: Counters of document frequency: fixed in number, so their size doesn't grow with the corpus.
+#: Slots of the counters that ``list_entries`` orders words by.
 COUNTERS = 1 << 20
-#: Words that more texts hold than this have a list per range of length; those lists are salted per so many texts.
-HOT, SALTED = 2000, 200_000
-#: Bits of the sketches in the lists, and the longest texts that have one of 256 and of 512 bits.
-LIST_BITS, SHORT_TEXT, MEDIUM_TEXT = 512, 192, 600
-#: Words and pairs of a cell of texts, and bits of the sketches there.
-CELL_WORDS, CELL_PAIRS, SKETCH = 2_000_000, 1_000_000, 4096
+#: Words that at least one in so many texts of a block holds (and 32 texts) have a row of bits there; words of a block.
+HOT, SALTED = 256, 5_000_000
+#: Words of a task's texts of the first part, and how many of these texts are looked up at once.
+TASK_WORDS, AT_ONCE = 16_000_000, 4096
+#: Texts of a block (17 bits), repetitions of a word that are told apart (15 bits), layers of a group.
+BLOCK_TEXTS, REPEATED, LAYERS = 1 << 17, (1 << 15) - 1, 4
+#: Segments of a block, and the texts that are looked at to find them.
+SEGMENTS, LOOKED_AT = 12, 2000
+#: Texts that are compared with one text at once, if so many are left.
+MANY = 16
+#: Bits of the sketches, and bits a word of those of the neighbours in texts that are too long for them.
+SKETCH, WORD_BITS = 4096, 16
 #: Rows that may be broadcast (some 50 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _EAST = re.compile("([々-〇぀-ヿ㐀-鿿豈-﫿฀-๿])")
@@ -171,29 +175,19 @@ def list_entries(words: np.ndarray, counters: np.ndarray, threshold: float) -> n
     return _in_order(words, counters)[0][: prefix_length(len(words), threshold)]
 
 
-def length_range(n: int, threshold: float) -> int:
-    """Number of the range of lengths that ``n`` is in; it never falls as ``n`` grows."""
-    return 1 + int(math.log(n) / max(0.01, -math.log(threshold)))
-
-
 def vector_sketch(words: np.ndarray, number: np.ndarray, bits: int) -> np.ndarray:
     """Bits of the words, each occurrence of a word (``number``) being one of its own.
 
     The bits that another text's sketch lacks are no more than the occurrences it lacks. Half the
     bits are the union of the halves.
     """
-    code = (words.astype(np.int64).view(np.uint64) * _SPLIT + number.astype(np.uint64)) * _MIX
     out = np.zeros(bits, np.uint8)
-    out[(code >> np.uint64(40)) & np.uint64(bits - 1)] = 1
+    out[_word_bits(words.astype(np.int64).view(np.uint64), number.astype(np.uint64)) & (bits - 1)] = 1
     return np.packbits(out).view(np.uint64)
 
 
-def neighbour_sketch(words: np.ndarray) -> np.ndarray:
-    """Bits of the pairs of neighbours."""
-    w = words.astype(np.int64).view(np.uint64)
-    out = np.zeros(SKETCH, np.uint8)
-    out[((w[:-1] * _SPLIT ^ (w[1:] + (w[:-1] >> np.uint64(29)))) * _SPLIT >> np.uint64(40)) % np.uint64(SKETCH)] = 1
-    return np.packbits(out).view(np.uint64)
+def _word_bits(words: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return ((words * _SPLIT + number) * _MIX >> np.uint64(40)).astype(np.int64)
 
 
 def neighbours_left(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -216,6 +210,39 @@ def common_words(a: list, b: list, least: float = 0.0) -> int:
     return len(a) - row.bit_count()
 
 
+def reaching_words(y: np.ndarray, xs: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+    """For each of ``xs`` whether its longest common subsequence with ``y`` is ``least`` long (``common_words``, all at once)."""
+    known, at = np.unique(y, return_inverse=True)
+    size = -(-len(y) // 64) * 64
+    places = np.zeros((len(known) + 1, size), np.uint8)
+    places[at, np.arange(len(y))] = 1
+    places = np.packbits(places, axis=1, bitorder="little").view(np.uint64)
+    length = np.array([*map(len, xs)])
+    flat = np.concatenate(xs)
+    found = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    words = np.full((len(xs), length.max()), len(known), np.int32)
+    words[np.arange(words.shape[1]) < length[:, None]] = np.where(known[found] == flat, found, len(known))
+    row = np.full((len(xs), size // 64), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    left = np.arange(len(xs))
+    for k in range(words.shape[1]):
+        match = row & places[words[:, k]]
+        total = row + match
+        carry = total < row
+        while carry[:, :-1].any():
+            total[:, 1:] += carry[:, :-1]
+            carry[:, 1:] = carry[:, :-1] & (total[:, 1:] == 0)
+            carry[:, 0] = False
+        row = total | row & ~match
+        if k % 16 == 15 or k == words.shape[1] - 1:
+            can = size - np.bitwise_count(row).sum(1, dtype=np.int64) + np.maximum(0, length[left] - k - 1) >= least[left]
+            left, row, words = left[can], row[can], words[can]
+            if not len(left):
+                break
+    out = np.zeros(len(xs), bool)
+    out[left] = True
+    return out
+
+
 def placed(words: np.ndarray) -> np.ndarray:
     """Words with their places, sorted; to be searched by ``in_reach``."""
     return np.sort((words.astype(np.int64) & 0x7FFFFFFF) << 24 | np.arange(len(words)))
@@ -256,105 +283,212 @@ def _tokens(df: DataFrame, item: str, text: str, side: str, least: int) -> DataF
     return rows.mapInArrow(run, f"item {kind}, side boolean, words array<int>, n int, digest binary")
 
 
-def _counters(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """In how many texts each slot of hashed words occurs, and in which parts (bit 1 the first, 2 the second)."""
+class _Texts:
+    """Texts of one part, sorted by length: their numbered words and sketches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int8)
-        for batch in batches:
-            words, n = batch.column(0).flatten().to_numpy(), batch.column(1).to_numpy()
-            code = np.unique(np.repeat(np.arange(len(n)) << 20, n) | (words & (COUNTERS - 1)))
-            total += np.bincount(code & (COUNTERS - 1), minlength=COUNTERS)
-            for bit in (1, 2):
-                there = batch.column(1 + bit).to_numpy(zero_copy_only=False)
-                seen[code[there[code >> 20]] & (COUNTERS - 1)] |= bit
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot]), pa.array(seen[slot].astype(np.int32))], names=["slot", "n", "seen"])
+    def __init__(self, ids: np.ndarray, words: np.ndarray, n: np.ndarray) -> None:
+        self.ids, self.words, self.n = ids, words, n.astype(np.int64)
+        self.stop = np.cumsum(self.n)
+        self.start = self.stop - self.n
+        self.near = _neighbours(self.words, self.n, SKETCH)
+        key = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32) | words.view(np.uint32))
+        number = np.minimum(_number(key), REPEATED).astype(np.uint64)
+        #: Text, and word with its number among its equals, of each word; by text.
+        self.text = (key >> np.uint64(32)).astype(np.int32)
+        key &= np.uint64(0xFFFFFFFF)
+        self.vector = _packed(_word_bits(key, number), self.text, len(n), SKETCH)
+        self.small = np.bitwise_or.reduce(self.vector.reshape(len(n), 8, SKETCH // 512), axis=1)
+        self.code = key << np.uint64(15) | number
 
-    counted = docs.select("words", "n", "first", "second").mapInArrow(run, "slot int, n long, seen int")
-    rows = counted.groupBy("slot").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen")).toArrow()  # at most COUNTERS rows
-    count, seen = np.zeros(COUNTERS, np.int32), np.zeros(COUNTERS, np.int8)
-    at = rows.column("slot").to_numpy()
-    count[at], seen[at] = np.minimum(rows.column("n").to_numpy(), 2**31 - 1), rows.column("seen").to_numpy()
-    return count, seen
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.words[self.start[i] : self.stop[i]]
 
+    def neighbours(self, which: np.ndarray, size: int) -> np.ndarray:
+        """Sketches of ``size`` bits of the neighbours in some of the texts."""
+        return _neighbours(np.concatenate([self[i] for i in which]), self.n[which], size)
 
-_LIST_LONGS = LIST_BITS // 64
 
+def _number(key: np.ndarray) -> np.ndarray:
+    """The number of each sorted key among its equals."""
+    at = np.arange(len(key), dtype=np.int32)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return at - np.maximum.accumulate(np.where(new, at, 0))
 
-def _lists(docs: DataFrame, counters, threshold: float, out: str, every: bool) -> DataFrame:
-    """The inverted lists of one part: a row per word of the prefix that the other part also holds.
 
-    Hot words are listed in their range of length and one salt, or with ``every`` in each range that a
-    partner can be in and each salt.
-    """
-    names = [out, f"n_{out}", "entry", "part", f"from_{out}", f"to_{out}", f"rank_{out}", *(f"s{k}_{out}" for k in range(_LIST_LONGS))]
+def _neighbours(words: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Sketches of ``size`` bits of the pairs of neighbours, each occurrence of a pair being one of its own."""
+    text = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    w, inside = words.view(np.uint32).astype(np.uint64), text[1:] == text[:-1]
+    code = (w[:-1] * _SPLIT ^ (w[1:] + (w[:-1] * _MIX >> np.uint64(29)))) * _SPLIT >> np.uint64(20)
+    key = np.sort((text[1:] << np.uint64(44) | code)[inside])
+    return _packed(_word_bits(key & np.uint64((1 << 44) - 1), _number(key).astype(np.uint64)), (key >> np.uint64(44)).astype(np.int32), len(n), size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = counters.value
-        for batch in batches:
-            flat, n_words = batch.column(2).flatten().to_numpy(), batch.column(1).to_numpy()
-            stop = np.cumsum(n_words)
-            parts = [[np.empty(0, kind)] for kind in (np.int64, np.int32, np.int32, np.int32, np.int32, np.int32)]
-            sketches = np.zeros((len(n_words), _LIST_LONGS), np.int64)
-            for i, n in enumerate(n_words.tolist()):
-                w = flat[stop[i] - n : stop[i]]
-                order, number = _in_order(w, count)
-                if n <= MEDIUM_TEXT:
-                    bits = LIST_BITS // 2 if n <= SHORT_TEXT else LIST_BITS
-                    sketches[i, : bits // 64] = vector_sketch(w[order], number, bits).view(np.int64)
-                length = prefix_length(n, threshold)
-                # A word has one row: the rank of its first occurrence, the places from the first to the last one.
-                rank = np.flatnonzero(number[:length] == 0)
-                to = order[np.append(rank[1:], length) - 1]
-                slot = w[order[rank]] & (COUNTERS - 1)
-                use = seen[slot] == 3
-                rank, to, slot = rank[use], to[use], slot[use]
-                start = order[rank]
-                entry, often = w[start], count[slot]
-                hot = often > HOT
-                low, high = (math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9)) if every else (n, n)
-                listed = [(np.flatnonzero(~hot), 0)]
-                salts = 1 + often // SALTED
-                for k in range(length_range(max(1, low), threshold), length_range(high, threshold) + 1) if hot.any() else ():
-                    if every:
-                        listed += [(np.flatnonzero(hot & (salts > salt)), k * 4096 + salt) for salt in range(salts[hot].max())]
-                    else:
-                        listed.append((np.flatnonzero(hot), k * 4096 + i % salts[hot]))
-                for at, part in listed:
-                    for held, x in zip(parts, (np.full(len(at), i), entry[at], np.broadcast_to(part, len(at)), start[at], to[at], rank[at])):
-                        held.append(x)
-            at, *rest = (np.concatenate(x) for x in parts)
-            rows = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in rest), *(pa.array(np.ascontiguousarray(sketches[at, k])) for k in range(_LIST_LONGS))], names=names
-            )
-
-    kinds = ["bigint", *["int"] * 6, *["bigint"] * _LIST_LONGS]
-    return docs.select("cls", "n", "words").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
-
-
-def _lacking(x: list[Column], y: list[Column]) -> Column:
+
+def _packed(bits: np.ndarray, text: np.ndarray, texts: int, size: int) -> np.ndarray:
+    """A sketch of ``size`` bits a text of the bits that its words have; ``text`` ascends."""
+    out = np.empty((texts, size // 64), np.uint64)
+    step, bits = max(1, (1 << 21) // size), bits & (size - 1)
+    for begin in range(0, texts, step):
+        end = min(texts, begin + step)
+        i, j = np.searchsorted(text, (begin, end))
+        held = np.zeros((end - begin, size), np.uint8)
+        held[text[i:j] - begin, bits[i:j]] = 1
+        out[begin:end] = np.packbits(held, axis=1).view(np.uint64)
+    return out
+
+
+def _segments(texts: _Texts) -> np.ndarray:
+    """A segment for each text, such that texts with few words in common (languages) mostly stand in different ones.
+
+    Found by the most frequent words among some of the texts. Any segments would do; these save work.
+    """
+    size = len(texts.n)
+    first = (texts.code & np.uint64(REPEATED)) == 0
+    word, text = texts.code[first] >> np.uint64(15), texts.text[first]
+    looked_at = text % max(1, size // LOOKED_AT) == 0
+    known, word_of = np.unique(word[looked_at], return_inverse=True)
+    of, left = text[looked_at], np.zeros(size, bool)
+    left[of] = True
+    here, segment = np.full(size, -1), np.full(size, SEGMENTS)
+    for new in range(4 * SEGMENTS):
+        count = np.bincount(word_of[left[of]], minlength=len(known))
+        if not len(count) or count.max() < 8:
+            break
+        k = int(count.argmax())
+        has = of[word_of == k]
+        # A word that is frequent in an earlier segment is one of its language.
+        earlier = np.bincount(here[has][here[has] >= 0], minlength=SEGMENTS) / np.maximum(1, np.bincount(here[here >= 0], minlength=SEGMENTS))
+        own = int(earlier.argmax()) if earlier.max() >= 0.1 else min(int(here.max()) + 1, SEGMENTS - 1)
+        here[has[left[has]]] = own
+        left[has] = False
+        every = text[word == known[k]]
+        segment[every[segment[every] == SEGMENTS]] = own
+    return segment
+
+
+class _Block:
+    """Texts of the second part as an index: for each numbered word the texts that hold it."""
+
+    def __init__(self, texts: _Texts, hot: int) -> None:
+        self.texts = texts
+        segment, size = _segments(texts), len(texts.n)
+        #: Texts by segment, then length; where the segments begin and the last ends.
+        self.order = np.lexsort((texts.n, segment))
+        self.bounds = np.flatnonzero(np.diff(segment[self.order], prepend=-1, append=SEGMENTS + 1))
+        self.n = texts.n[self.order]
+        place = np.empty(size, np.uint64)
+        place[self.order] = np.arange(size, dtype=np.uint64)
+        key = np.sort(texts.code << np.uint64(17) | place[texts.text])
+        code = key >> np.uint64(17)
+        self.held_by = (key & np.uint64(BLOCK_TEXTS - 1)).astype(np.int32)
+        del key
+        begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        self.code, self.begin, self.end = code[begin], begin, np.append(begin[1:], len(code))
+        del code
+        count, words = self.end - self.begin, len(begin)
+        often = np.flatnonzero(count >= max(32, size // hot))
+        #: Rows of bits; words without one, and the unknown one behind the last, have the last row, which holds all.
+        self.row = np.full(words + 1, len(often))
+        self.row[often] = np.arange(len(often))
+        self.rows = np.empty((len(often) + 1, -(-size // 64)), np.uint64)
+        for k, word in enumerate(often):
+            held = np.zeros(self.rows.shape[1] * 64, np.uint8)
+            held[self.held_by[self.begin[word] : self.end[word]]] = 1
+            self.rows[k] = np.packbits(held, bitorder="little").view(np.uint64)
+        self.rows[-1] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        #: How many texts of a segment hold each word; none the unknown one.
+        of, word = np.searchsorted(self.bounds, self.held_by, side="right") - 1, np.repeat(np.arange(words, dtype=np.int32), count)
+        del texts.code, texts.text
+        self.often = [np.append(np.bincount(word[of == s], minlength=words), 0).astype(np.int32) for s in range(len(self.bounds) - 1)]
+
+    def near(self, texts: _Texts, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a text of ``texts`` and one of the block such that the latter holds a whole group of the former."""
+        known, back = np.unique(texts.code, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.code, known), len(self.code) - 1)
+        words = np.where(self.code[at] == known, at, len(self.code))[back]
+        groups = np.array([prefix_length(n, threshold) for n in texts.n.tolist()])
+        low, high = np.ceil(threshold * texts.n - 1e-9), np.floor(texts.n / threshold + 1e-9)
+        pairs = [np.empty((2, 0), np.int64)]
+        for s, often in enumerate(self.often):
+            often, begin, end = often[words], self.bounds[s], self.bounds[s + 1]
+            absent = np.add.reduceat((often == 0).astype(np.int32), texts.start)
+            lo, hi = begin + np.searchsorted(self.n[begin:end], low), begin + np.searchsorted(self.n[begin:end], high, side="right")
+            lists: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for i in np.flatnonzero((absent < groups) & (lo < hi)).tolist():
+                own = slice(texts.start[i], texts.stop[i])
+                dealt = words[own][np.argsort(often[own], kind="stable")[absent[i] :]]
+                left = int(groups[i]) - int(absent[i])
+                layers = min(LAYERS, len(dealt) // left)
+                rows = self.row[dealt[: layers * left]].reshape(layers, left)
+                listed = rows[0] == len(self.rows) - 1
+                if listed.any():
+                    lists.append((i, dealt[:left][listed], rows[1:3, listed]))
+                    rows = rows[:, ~listed]
+                if not rows.shape[1]:
+                    continue
+                a, b = lo[i] >> 6, (hi[i] + 63) >> 6
+                found = np.zeros(b - a, np.uint64)
+                for k in range(0, rows.shape[1], 256):
+                    some = self.rows[rows[0, k : k + 256], a:b]
+                    for layer in rows[1:, k : k + 256]:
+                        some &= self.rows[layer, a:b]
+                    found |= np.bitwise_or.reduce(some, axis=0)
+                if len(which := np.flatnonzero(found)):
+                    word, bit = np.nonzero(np.unpackbits(found[which].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                    place = (which[word] + a) * 64 + bit
+                    place = place[(place >= lo[i]) & (place < hi[i])]
+                    pairs.append(np.stack([np.full(len(place), i), place]))
+            for k in range(0, len(lists), 512):
+                pairs.append(self._listed(lists[k : k + 512], lo, hi))
+        x, y = np.concatenate(pairs, axis=1)
+        return x, self.order[y]
+
+    def _listed(self, lists: list[tuple[int, np.ndarray, np.ndarray]], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Pairs for the groups whose first word has a list; the words of the next layers are looked up in their rows."""
+        word = np.concatenate([x[1] for x in lists])
+        text = np.repeat([x[0] for x in lists], [len(x[1]) for x in lists])
+        count = self.end[word] - self.begin[word]
+        group = np.repeat(np.arange(len(word)), count)
+        place = self.held_by[np.arange(len(group)) + np.repeat(self.begin[word] - np.cumsum(count) + count, count)]
+        text = text[group]
+        keep = (place >= lo[text]) & (place < hi[text])
+        full = np.full(2, len(self.rows) - 1)[:, None]
+        more = np.concatenate([np.concatenate([x[2], np.broadcast_to(full, (2, len(x[1])))])[:2] for x in lists], axis=1)
+        for layer in more:
+            group, place, text = group[keep], place[keep], text[keep]
+            keep = (self.rows[layer[group], place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return np.stack([text[keep], place[keep]])
+
+
+def _lacking(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Bits of x that y lacks."""
-    return reduce(add, (F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in zip(x, y)))
-
-
-def candidates(docs: DataFrame, counters, threshold: float) -> DataFrame:
-    """Pairs (a, b) of classes, a in the first part and b in the second, worth a comparison; some repeatedly."""
-    a = _lists(docs.where("first"), counters, threshold, "a", False)
-    b = _lists(docs.where("second"), counters, threshold, "b", True)
-    least = F.greatest("n_a", "n_b") * threshold - 1e-9
-    near = (F.least("n_a", "n_b") >= least) & (F.col("a") != F.col("b"))
-    # Words in common stand before both places or behind both; none is rarer than the first.
-    placed_near = F.least("to_a", "to_b") + F.least(F.col("n_a") - F.col("from_a"), F.col("n_b") - F.col("from_b")) >= least
-    ranked_near = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= least
-    x, y = ([F.col(f"s{k}_{side}") for k in range(_LIST_LONGS)] for side in "ab")
-    half = _LIST_LONGS // 2
-    folded = lambda s: [p.bitwiseOR(q) for p, q in zip(s[:half], s[half:])]
-    alike = lambda x, y: (_lacking(x, y) <= F.col("n_a") - least) & (_lacking(y, x) <= F.col("n_b") - least)
-    unsketched = F.greatest("n_a", "n_b") > MEDIUM_TEXT
-    sketched = unsketched | alike(folded(x), folded(y)) & ((F.least("n_a", "n_b") <= SHORT_TEXT) | alike(x, y))
-    return a.join(b, ["entry", "part"]).where(near & placed_near & ranked_near & sketched).select("a", "b", "n_a")
+    return np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+
+
+def _alike(a: _Texts, b: _Texts, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that the sketches leave."""
+    for x, y in ((a.small, b.small), (a.vector, b.vector), (a.near, b.near)):
+        n, m = a.n[i], b.n[j]
+        kept = neighbours_left(n, m, threshold) + 1 if x is a.near else threshold * np.maximum(n, m) - 1e-9
+        p, q = x[i], y[j]
+        fits = (_lacking(p, q) <= n - kept) & (_lacking(q, p) <= m - kept)
+        i, j = i[fits], j[fits]
+    # The longer the texts, the larger the sketches of neighbours that tell them apart.
+    size = 1 << np.ceil(np.log2(WORD_BITS * np.maximum(a.n[i], b.n[j]))).astype(np.int64)
+    out = [np.stack([i, j])[:, size <= SKETCH]]
+    for bits in np.unique(size[size > SKETCH]).tolist():
+        step = max(1, (1 << 28) // bits)
+        p, q = i[size == bits], j[size == bits]
+        for k in range(0, len(p), step):
+            (some_a, at_a), (some_b, at_b) = (np.unique(z[k : k + step], return_inverse=True) for z in (p, q))
+            x, y = a.neighbours(some_a, bits)[at_a], b.neighbours(some_b, bits)[at_b]
+            n, m = a.n[p[k : k + step]], b.n[q[k : k + step]]
+            kept = neighbours_left(n, m, threshold) + 1
+            fits = (_lacking(x, y) <= n - kept) & (_lacking(y, x) <= m - kept)
+            out.append(np.stack([p[k : k + step], q[k : k + step]])[:, fits])
+    i, j = np.concatenate(out, axis=1)
+    return i, j
 
 
 def _reaches(x: np.ndarray, y: np.ndarray, ys: np.ndarray, threshold: float) -> bool:
@@ -371,69 +505,122 @@ def _held(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _sketches(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    zero = np.zeros(1 << 20, np.int8)
-    return np.array([vector_sketch(x[(o := _in_order(x, zero))[0]], o[1], SKETCH) for x in texts]), np.array([neighbour_sketch(x) for x in texts])
-
+def _reaching(a: _Texts, block: _Block, threshold: float) -> Iterator[tuple[int, int]]:
+    """Pairs of classes that reach the threshold, each once."""
+    x, y = block.near(a, threshold)
+    found: set[tuple[int, int]] = set()
+    for k in range(0, len(x), 100_000):
+        found.update(zip(*(z.tolist() for z in _alike(a, block.texts, x[k : k + 100_000], y[k : k + 100_000], threshold))))
+    partners: dict[int, list[int]] = {}
+    for i, j in sorted(found):
+        if a.ids[i] != block.texts.ids[j]:
+            partners.setdefault(j, []).append(i)
+    for j, all_i in partners.items():
+        y = block.texts[j]
+        if len(all_i) < MANY:
+            ys = placed(y)
+            reached = [i for i in all_i if _reaches(a[i], y, ys, threshold)]
+        else:
+            reached = []
+            for k in range(0, len(all_i), 2048):
+                some = np.array(all_i[k : k + 2048])
+                reached += some[reaching_words(y, [a[i] for i in some], threshold * np.maximum(a.n[some], len(y)) - 1e-9)].tolist()
+        yield from ((a.ids[i], block.texts.ids[j]) for i in reached)
+
+
+def _taken(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, words and numbers of words of batches of ``cls``, ``n``, ``words``, sorted by length."""
+    ids, n = (np.concatenate([x.column(k).to_numpy() for x in batches]) for k in (0, 1))
+    words = np.concatenate([x.column(2).flatten().to_numpy() for x in batches])
+    if (n[1:] >= n[:-1]).all():
+        return ids, words, n
+    order = np.argsort(n, kind="stable")
+    start, n = (np.cumsum(n, dtype=np.int64) - n)[order], n[order].astype(np.int64)
+    return ids[order], words[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)], n
+
+
+def _blocks(files: list[tuple[str, int, int]], low: int, high: int, hot: int, most: int) -> Iterator[_Block]:
+    """The texts of ``files`` (path, shortest, longest) of ``low`` to ``high`` words, block by block."""
+    held, words, texts = [], 0, 0
+    for path, shortest, longest in files:
+        if longest < low or shortest > high:
+            continue
+        place, name = pa.fs.FileSystem.from_uri(path)
+        with place.open_input_file(name) as source:
+            for batch in pq.ParquetFile(source).iter_batches(4096, columns=["cls", "n", "words"]):
+                n = batch.column("n").to_numpy()
+                batch = batch.filter(pa.array((n >= low) & (n <= high))).select(["cls", "n", "words"])
+                held.append(batch)
+                words, texts = words + len(batch.column(2).flatten()), texts + len(batch)
+                if texts and (words >= most or texts > BLOCK_TEXTS - 8192):
+                    yield _Block(_Texts(*_taken(held)), hot)
+                    held, words, texts = [], 0, 0
+    if texts:
+        yield _Block(_Texts(*_taken(held)), hot)
+
+
+#: Lengths are counted and parted in steps of this ratio.
+STEP = math.log(1.02)
+
+
+def _tasks(counts: list[tuple[int, int, int, int]], threshold: float, cores: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """For each step of length the first task and the number of tasks that have its texts, and the number of all tasks.
+
+    ``counts``: step, texts of the first part, their words, texts of the second part.
+    """
+    reach = math.ceil(-math.log(threshold) / STEP) + 1 if threshold > 0 else 1 << 30
+    near = {k: sum(c[3] for c in counts if abs(c[0] - k) <= reach) for k, *_ in counts}
+    # A text costs as much as some 40,000 others that its words are held against, or as 500 words that are read.
+    work = {k: (first * 40_000 + words * (80 + near[k] // 180), words) for k, first, words, _ in counts if first}
+    share = max(1, math.ceil(sum(w for w, _ in work.values()) / (2 * cores)))
+    # Long texts, if they are of few different words, cost more than that; tasks have no more words than they would evenly.
+    most = max(1, min(TASK_WORDS, math.ceil(1.2 * sum(w for _, w in work.values()) / (2 * cores))))
+    out, task, filled, held = {}, 0, 0, 0
+    for k, (cost, words) in sorted(work.items()):
+        need = max(math.ceil(cost / share), math.ceil(words / most))
+        if filled and (filled + cost > share or held + words > most):
+            task, filled, held = task + 1, 0, 0
+        out[k] = (task, need)
+        if need > 1:
+            task, filled, held = task + need, 0, 0
+        else:
+            filled, held = filled + cost, held + words
+    return out, task + 1
+
+
+def pairs_of_classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of classes, a in the first part and b in the second, that reach the threshold, each once.
+
+    The texts of the second part are written by length to the shared folder; each task reads those near its own in length.
+    """
+    spark = docs.sparkSession
+    hot, most = HOT, SALTED
+    step = F.floor(F.log("n") / STEP).cast("int")
+    of = lambda part, x: F.coalesce(F.sum(F.when(F.col(part), x)), F.lit(0))
+    counts = [tuple(r) for r in docs.groupBy(step.alias("k")).agg(of("first", F.lit(1)), of("first", F.col("n")), of("second", F.lit(1))).collect()]  # a row a step
+    tasks, number = _tasks(counts, threshold, spark.sparkContext.defaultParallelism)
+    if not tasks or not any(c[3] for c in counts):
+        return docs.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    listed = docs.where("second").select("cls", "n", "words")
+    listed = staged(listed.repartitionByRange(number, "n").sortWithinPartitions("n"), "overlap-second")
+    files = sorted(tuple(r) for r in listed.groupBy(F.input_file_name().alias("path")).agg(F.min("n"), F.max("n")).collect())  # a row a task
+    at = lambda k: F.element_at(F.create_map(*(F.lit(x) for step, v in tasks.items() for x in (step, v[k]))), step)
+    parted = docs.where("first").select("cls", "n", "words").repartitionById(number, at(0) + F.pmod(F.hash("cls"), at(1))).sortWithinPartitions("n")
 
-def _in_cells(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that reach the threshold, each once. ``pairs``: staged, with ``a``, ``b``, ``n_a``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (own := list(batches)):
+            return
+        ids, words, n = _taken(own)
+        del own
+        stop = np.cumsum(n, dtype=np.int64)
+        for block in _blocks(files, math.ceil(threshold * int(n[0]) - 1e-9), math.floor(int(n[-1]) / threshold + 1e-9), hot, most):
+            for begin in range(0, len(n), AT_ONCE):
+                end = min(len(n), begin + AT_ONCE)
+                some = _Texts(ids[begin:end], words[stop[begin] - n[begin] : stop[end - 1]], n[begin:end])
+                pairs = list(_reaching(some, block, threshold))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    A cell holds the pairs of one range of length of ``a``, and of blocks of it by both sides,
-    with the texts of these pairs.
-    """
-    range_of = lambda n: (F.floor(F.log(n) / max(0.01, -math.log(threshold))) + 1).cast("int")
-    words = docs.groupBy(range_of("n").alias("k")).agg(F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("first"), F.sum(F.when(F.col("second"), F.col("n")).otherwise(0)).alias("second")).collect()  # a row a range
-    found = {r.k: r.n for r in pairs.groupBy(range_of("n_a").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, second = {r.k: r.first for r in words}, {r.k: r.second for r in words}
-    blocks: dict[int, tuple[int, int]] = {}
-    for k, n in found.items():
-        near = sum(second.get(x, 0) for x in (k - 1, k, k + 1, k + 2))
-        in_a, in_b = (max(1, math.ceil(x / CELL_WORDS)) for x in (first.get(k, 0), near))
-        blocks[k] = (max(in_a, math.ceil(n / CELL_PAIRS / in_b)), in_b)
-    if not blocks:
-        return pairs.select("a", "b").limit(0)
-    number = lambda side: F.element_at(F.create_map(*(F.lit(x) for k, v in blocks.items() for x in (k, v[side]))), F.col("k"))
-    keyed = pairs.withColumn("k", range_of("n_a"))
-    keyed = keyed.select("a", "b", "k", F.pmod(F.hash("a"), number(0)).alias("i"), F.pmod(F.hash("b"), number(1)).alias("j"))
-    cell = ["k", "i", "j"]
-    texts = None
-    for side in "ab":
-        wanted = staged(keyed.select(F.col(side).alias("cls"), *cell).distinct(), "overlap-wanted")
-        rows = docs.select("cls", "words").join(_held(wanted), "cls").select(F.lit(side == "a").alias("is_a"), "cls", "words", *cell)
-        texts = rows if texts is None else texts.unionByName(rows)
-
-    def part(table: pa.Table, is_a: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-        own = table.filter(pc.equal(table.column("is_a"), is_a)).combine_chunks().sort_by("cls")
-        return own.column("cls").to_numpy(), [x.values.to_numpy() for x in own.column("words")]
-
-    def run(found: pa.Table, texts: pa.Table) -> pa.Table:
-        keep: tuple[list[int], list[int]] = ([], [])
-        if found.num_rows:
-            (ids_a, words_a), (ids_b, words_b) = part(texts, True), part(texts, False)
-            code = np.unique(np.searchsorted(ids_b, found.column("b").to_numpy()) * len(ids_a) + np.searchsorted(ids_a, found.column("a").to_numpy()))
-            len_a, len_b = np.array([*map(len, words_a)]), np.array([*map(len, words_b)])
-            (vector_a, near_a), (vector_b, near_b) = _sketches(words_a), _sketches(words_b)
-            lacking = lambda x, y: np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
-            last, ys = -1, None
-            for begin in range(0, len(code), 20_000):
-                j, i = np.divmod(code[begin : begin + 20_000], len(ids_a))
-                least = threshold * np.maximum(len_a[i], len_b[j]) - 1e-9
-                x, y = vector_a[i], vector_b[j]
-                fits = (lacking(x, y) <= len_a[i] - least) & (lacking(y, x) <= len_b[j] - least)
-                i, j = i[fits], j[fits]
-                x, y = near_a[i], near_b[j]
-                left = neighbours_left(len_a[i], len_b[j], threshold)
-                fits = (lacking(x, y) <= len_a[i] - 1 - left) & (lacking(y, x) <= len_b[j] - 1 - left)
-                for p, q in zip(i[fits].tolist(), j[fits].tolist()):
-                    if q != last:
-                        last, ys = q, placed(words_b[q])
-                    if _reaches(words_a[p], words_b[q], ys, threshold):
-                        keep[0].append(ids_a[p])
-                        keep[1].append(ids_b[q])
-        return pa.table({"a": pa.array(keep[0], pa.int64()), "b": pa.array(keep[1], pa.int64())})
-
-    return keyed.groupBy(*cell).cogroup(texts.groupBy(*cell)).applyInArrow(run, "a bigint, b bigint")
+    return parted.mapInArrow(run, "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, df: DataFrame, item: str, text: str, threshold: float) -> DataFrame:
@@ -480,10 +667,8 @@ def linked_classes(df: DataFrame, item: str, text: str, in_first: str, threshold
     tokens = staged(_tokens(usable, item, text, in_first, least), "overlap-words")
     docs = tokens.groupBy("digest").agg(F.first("item").alias("item"), F.max("side").alias("first"), (~F.min("side")).alias("second"), F.first("n").alias("n"), F.first("words").alias("words"))
     docs = staged(docs.withColumn("cls", F.monotonically_increasing_id()), "overlap-classes")
-    counters = df.sparkSession.sparkContext.broadcast(_counters(docs))
-    found = staged(candidates(docs, counters, threshold), "overlap-candidates")
     # Words of 32 bits first: two words in one can only make a pair look more alike.
-    alike = staged(_in_cells(found, docs, threshold), "overlap-alike")
+    alike = staged(pairs_of_classes(docs, threshold), "overlap-alike")
     links = _confirmed(alike, docs, usable, item, text, threshold)
     same = docs.where("first and second").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     members = tokens.select("item", "side", "digest").join(docs.select("digest", "cls"), "digest").select("item", "side", "cls").distinct()

@@ -141,3 +141,61 @@ def test_revisions_of_many_lengths(spark, monkeypatch):
     first, second = ([i for i, _, f in rows if f is side] for side in (True, False))
     want = {(a, b) for a in first for b in second if lcs(words[a], words[b]) >= 0.8 * max(len(words[a]), len(words[b]))}
     assert len(want) >= 4 * 6 * 8 and {(min(p), max(p)) for p in want} == got
+
+
+def test_few_pairs_are_held_against_each_other():
+    """Texts of one small vocabulary share words, but few hold a whole group of another; all true pairs are among them."""
+    rng = np.random.default_rng(11)
+    share = 1 / np.arange(10, 1010)
+    texts = [rng.choice(1000, size, p=share / share.sum()).astype(np.int32) for size in rng.integers(100, 200, 800)]
+    changed = []
+    for k, x in enumerate(texts[:200]):
+        at = rng.random(len(x)) < 0.17
+        changed.append(np.where(at, 2000 + k, x).astype(np.int32))
+
+    def part(texts):
+        texts = sorted(texts, key=len)
+        return overlap._Texts(np.arange(len(texts)), np.concatenate(texts), np.array([*map(len, texts)]))
+
+    a, b = part(texts), part(changed + texts[400:700])
+    i, j = overlap._Block(b, overlap.HOT).near(a, 0.8)
+    bags = lambda held: [np.bincount(held[k], minlength=2200) for k in range(len(held.n))]
+    bags_a, bags_b = bags(a), np.array(bags(b))
+    want = {(k, m) for k, x in enumerate(bags_a) for m in np.flatnonzero(np.minimum(x, bags_b).sum(1) >= 0.8 * np.maximum(a.n[k], b.n)).tolist()}
+    near = {*zip(i.tolist(), j.tolist())}
+    assert len(want) > 300 and want <= near and len(near) < 0.05 * len(a.n) * len(b.n)
+    left = {*zip(*(x.tolist() for x in overlap._alike(a, b, i, j, 0.8)))}
+    assert {(k, m) for k, m in want if lcs(a[k].tolist(), b[m].tolist()) >= 0.8 * max(a.n[k], b.n[m])} <= left
+
+
+def test_many_at_once_as_one_by_one():
+    """Texts of few different words pass all sketches: their subsequences are worked out together."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        y = rng.integers(0, 8, rng.integers(1, 300)).astype(np.int32)
+        xs = [rng.integers(0, 9, size).astype(np.int32) for size in rng.integers(1, 300, 10)]
+        xs += [np.where(rng.random(len(y)) < 0.15, 9, y).astype(np.int32) for _ in range(10)]
+        exact = np.array([common_words(x.tolist(), y.tolist()) for x in xs])
+        least = exact + rng.integers(-2, 3, len(xs))
+        assert (overlap.reaching_words(y, xs, least) == (exact >= least)).all()
+
+
+def test_long_texts_of_few_words_and_many_blocks(spark, monkeypatch):
+    """The same pairs as brute force where a block holds a few texts and many texts are compared at once."""
+    monkeypatch.setattr(overlap, "SALTED", 3000)
+    rng = random.Random(13)
+    rows, item = [], 0
+    for side in (True, False):
+        for _ in range(40):
+            rows.append((item, " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(280, 330))), side))
+            item += 1
+    for k in range(0, 40, 4):
+        changed = [w if rng.random() > 0.15 else "z" for w in rows[k][1].split()]
+        rows.append((item, " ".join(changed), False))
+        item += 1
+    df = spark.createDataFrame(rows, "id long, text string, first boolean")
+    got = {tuple(r) for r in overlapping_pairs(df, "id", "text", "first").collect()}
+    words = {i: t.split() for i, t, _ in rows}
+    first, second = ([i for i, _, f in rows if f is side] for side in (True, False))
+    want = {(a, b) for a in first for b in second if common_words(words[a], words[b]) >= 0.8 * max(len(words[a]), len(words[b]))}
+    assert len(want) >= 10 and got == want
